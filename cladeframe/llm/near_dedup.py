@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from cladeframe.llm._common import Scratch, hash_words, mix
 from cladeframe.llm.components import connected_components
 
 ROWS, BANDS = 7, 42
+#: Bits of the maps that bound overlaps.
+BITS = 2048
 _K = ROWS * BANDS // 2
 _rng = np.random.default_rng(0x314159)
 _A = _rng.integers(0, 2**63, _K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,6 +50,13 @@ def minmax_bands(items: np.ndarray) -> np.ndarray:
     return acc
 
 
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """BITS bits as longs; an item sets the bit that its hash names."""
+    flags = np.zeros(BITS, bool)
+    flags[(items % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64)
+
+
 def _key(items: np.ndarray) -> tuple[int, int]:
     index = np.arange(1, len(items) + 1, dtype=np.uint64)
     one = mix(items + index * _FOLD).sum(dtype=np.uint64)
@@ -76,8 +87,9 @@ def _sketches(words: int):
 def _sets(words: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            columns = [pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["id", "items", "bits"])
 
     return run
 
@@ -94,7 +106,8 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     3. Each bucket compares its members with its smallest one only; verified links give first components.
     4. In buckets that still hold several components, the members of different components are compared with each
        other. Pairs within a component can't change the result, so no link that matters is lost, and a bucket of
-       a thousand near copies costs a thousand comparisons.
+       a thousand near copies costs a thousand comparisons. Bitmaps of the sets bound each overlap from above, so
+       only pairs that may reach the similarity are made, and no link is lost by it.
     Every link is confirmed on the full sets of 64-bit shingle hashes. Null or blank texts have an empty set and
     are linked with nothing; rows that share a doc_id are one document; a null doc_id is never a component_id.
     """
@@ -111,7 +124,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * similarity
     needed = scratch.write(shared.select("id").distinct(), "needed")
-    sets = scratch.write(docs.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>"), "sets")
+    sets = scratch.write(docs.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>, bits array<long>"), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
@@ -130,11 +143,18 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     mixed = scratch.write(placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "mixed")
     open_ = scratch.write(placed.join(mixed, "bucket", "left_semi"), "open")
     scratch.drop("shared", "placed", "mixed")
-    other = open_.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "label")))
-    cross = open_.join(other, "bucket").where((F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & fits(F.col("n"), F.col("o_n")))
+    # Each bit that one set has and the other has not is an item they don't share: an exact bound of the overlap,
+    # tested while the bucket's members meet, so a pair that can't be similar is never made.
+    open_ = scratch.write(open_.join(sets.select("id", "bits"), "id"), "marked")
+    scratch.drop("open")
+    other = open_.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("id", "n", "label", "bits")))
+    lone = lambda x, y: reduce(lambda a, b: a + b, (F.bit_count(F.get(x, k).bitwiseAND(F.bitwise_not(F.get(y, k)))) for k in map(F.lit, range(BITS // 64))))
+    most = F.least(F.col("n") - lone("bits", "o_bits"), F.col("o_n") - lone("o_bits", "bits"))
+    possible = fits(F.col("n"), F.col("o_n")) & (most * 100 >= (F.col("n") + F.col("o_n") - most) * similarity)
+    cross = open_.join(other, "bucket").where((F.col("id") < F.col("o_id")) & (F.col("label") != F.col("o_label")) & possible)
     second = verified(cross.select(F.col("id").alias("a"), F.col("o_id").alias("b")), "cross")
     parts = connected_components(spark, star.union(second), scratch, "all")
-    scratch.drop("open", "sets", "needed", "star-links", "cross-links", "first-components")
+    scratch.drop("marked", "sets", "needed", "star-links", "cross-links", "first-components")
 
     rep_part = scratch.write(reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id")), "parts")
     scratch.drop("reps", "all-components")
