@@ -19,6 +19,8 @@ FLOOR = (0.05, 0.01, 0.0025, 0.09, 0.04)
 SUPPORT, STEPS, CUT = 0.75, 4, 33.4
 #: Groups of fewer documents are fitted together, as one group.
 LEAST_GROUP = 50
+#: Rows of a group that meet its fit in one task.
+SALT_ROWS = 2000
 _SPACES = " \t\n\x0b\f\r"
 
 
@@ -123,7 +125,7 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     again; the determinant never grows. A covariance floor keeps it regular where a rate is constant. Documents
     that the base rule rejects take no part. What is judged is the distance of the rates given the length, so a
     text isn't rejected for its length alone. Every step is a grouped sum with map-side partial sums over a small
-    table of statistics, so a source with a third of all rows costs no more than others. Groups of fewer than
+    table of statistics, and large groups are salted, so a source with a third of all rows is no single task. Groups of fewer than
     LEAST_GROUP documents, null languages and null sources are fitted together. A null text has no words and fails.
     """
     spark = documents.sparkSession
@@ -133,24 +135,33 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     key = F.struct("lang", "source")
     large = stats.where(~F.col("base_failed") & F.col("lang").isNotNull() & F.col("source").isNotNull()).groupBy("lang", "source").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_GROUP)
     large = scratch.write(large.select("lang", "source", F.to_json(key).alias("grp")), "groups")
-    grouped = stats.join(large, ["lang", "source"], "left").withColumn("grp", F.coalesce("grp", F.lit("")))
-    rows = scratch.write(grouped, "rows")
+    rows = stats.join(large, ["lang", "source"], "left").withColumn("grp", F.coalesce("grp", F.lit("")))
+    rows = scratch.write(rows, "grouped")
+    # A group is dealt over salts by its size, and what is known of it is copied to each salt, so that the rows of a
+    # hot group meet its fit in many tasks and leave as partial sums.
+    salts = F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int")
+    shares = scratch.write(rows.groupBy("grp").agg(salts.alias("salts")), "shares")
+    rows = rows.join(shares, "grp").withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.col("salts")).cast("int")).drop("salts")
+    rows = scratch.write(rows, "rows")
     good = rows.where(~F.col("base_failed"))
 
-    middle = good.groupBy("grp").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"q_{c}") for c in FEATURES))
-    middle = scratch.write(middle, "middle")
+    def known(table: DataFrame, name: str) -> DataFrame:
+        return scratch.write(table.join(shares, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), name)
+
+    middle = known(good.groupBy("grp").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"q_{c}") for c in FEATURES)), "middle")
     far = reduce(lambda a, b: a + b, (F.pow(F.col(c) - F.col(f"q_{c}"), F.lit(2.0)) / F.lit(FLOOR[i]) for i, c in enumerate(FEATURES)))
-    measured = good.join(middle, "grp").withColumn("d2", far)
+    at = ["grp", "salt"]
+    measured = good.join(middle, at).withColumn("d2", far)
     fit = None
     for step in range(STEPS + 1):
-        limits = scratch.write(measured.groupBy("grp").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("limit")), f"limit-{step}")
-        inner = measured.join(limits, "grp").where(F.col("d2") <= F.col("limit"))
-        fit = scratch.write(_fit(inner), f"fit-{step}")
-        measured = _distance(good.join(fit, "grp"))
+        limits = known(measured.groupBy("grp").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("limit")), f"limit-{step}")
+        inner = measured.join(limits, at).where(F.col("d2") <= F.col("limit"))
+        fit = known(_fit(inner), f"fit-{step}")
+        measured = _distance(good.join(fit, at))
     # Consistency at the normal model: the median of the distances of the kept part is set to chi-square's.
-    spread = scratch.write(measured.groupBy("grp").agg((F.percentile_approx("d2_given", 0.5, 1000) / F.lit(3.357)).alias("scale")), "scale")
-    fit = scratch.write(fit.join(spread, "grp"), "fit")
-    judged = _distance(rows.join(fit, "grp", "left")).withColumn("distance", F.col("d2_given") / F.greatest("scale", F.lit(1.0)))
-    scratch.drop("stats", "groups", "middle", "scale", *(f"limit-{k}" for k in range(STEPS + 1)), *(f"fit-{k}" for k in range(STEPS + 1)))
+    spread = known(measured.groupBy("grp").agg((F.percentile_approx("d2_given", 0.5, 1000) / F.lit(3.357)).alias("scale")), "scale")
+    fit = scratch.write(fit.join(spread, at), "fit")
+    judged = _distance(rows.join(fit, at, "left")).withColumn("distance", F.col("d2_given") / F.greatest("scale", F.lit(1.0)))
+    scratch.drop("stats", "groups", "grouped", "shares", "middle", "scale", *(f"limit-{k}" for k in range(STEPS + 1)), *(f"fit-{k}" for k in range(STEPS + 1)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distance", "base_failed", kept.alias("kept"))
