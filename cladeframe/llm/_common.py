@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,34 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows that a Python function gets at once; an Arrow batch may have ten thousand long texts.
+SLICE = 1000
+
+
+def in_slices(run):
+    """run for mapInArrow over slices of the batches; a worker gives memory back when its partition ends."""
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                yield batch.slice(at, SLICE)
+
+    def wrapped(batches):
+        try:
+            yield from run(sliced(batches))
+        finally:
+            _trim()
+
+    return wrapped
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- hashing
 
 _rng = np.random.default_rng(0x5EED)

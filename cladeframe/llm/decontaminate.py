@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeframe.llm._common import hash_spans, word_bounds
+from cladeframe.llm._common import hash_spans, in_slices, word_bounds
 
 #: Contract words: ASCII letters and digits, and everything beyond ASCII.
 IS_ALNUM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 WINDOW = 13
 #: Words of one shard's suffix array, and of one block of benchmark words; both bound a worker's memory.
-SHARD_WORDS, BLOCK_WORDS = 1 << 19, 1 << 20
+SHARD_WORDS, BLOCK_WORDS = 1 << 18, 1 << 20
 
 
 def contract_words(text: str | None) -> np.ndarray:
@@ -213,7 +213,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             )
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<string>, contaminated boolean")
+    return docs.mapInArrow(in_slices(run), "doc_id long, n_words long, n_hit long, items array<string>, spans array<string>, contaminated boolean")
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -227,6 +227,6 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in documents.schema])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(in_slices(run), schema)
 
 

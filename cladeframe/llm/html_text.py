@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.llm._common import in_slices
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*\"|'[^'<]*')*+)>"
@@ -230,4 +232,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(in_slices(run), "page_id long, url string, text string, n_chars long")

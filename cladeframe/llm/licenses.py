@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm._common import hash_spans, mix, word_bounds
+from cladeframe.llm._common import hash_spans, in_slices, mix, word_bounds
 
 #: Public license notices and texts, as (name, text).
 TEMPLATES = (
@@ -166,4 +166,4 @@ def license_spans(documents: DataFrame) -> DataFrame:
             )
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_licenses long, licenses string, spans string")
+    return docs.mapInArrow(in_slices(run), "doc_id long, n_licenses long, licenses string, spans string")

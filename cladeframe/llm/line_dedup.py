@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm._common import Scratch
+from cladeframe.llm._common import Scratch, in_slices
 
 #: A unit is a line, or a sentence of it: shared passages often stand inside a line.
 UNIT = re.compile(r"[^\n.!?]+[.!?]*")
@@ -60,7 +60,7 @@ def repeated_units(documents: DataFrame, least_words: int = LEAST_WORDS) -> Data
     """
     scratch = Scratch(documents.sparkSession, "units")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = docs.mapInArrow(_cut(least_words), "doc_id long, starts array<int>, ends array<int>, h1 array<long>, h2 array<long>")
+    cut = docs.mapInArrow(in_slices(_cut(least_words)), "doc_id long, starts array<int>, ends array<int>, h1 array<long>, h2 array<long>")
     cut = scratch.write(cut.withColumn("row", F.monotonically_increasing_id()), "cut")
     rank = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.col("at"))
     flat = cut.select("row", "doc_id", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("row", rank.alias("rank"), F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2")).where("h1 is not null")

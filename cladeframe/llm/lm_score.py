@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm._common import Scratch
+from cladeframe.llm._common import Scratch, in_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose counts travel to every task: the most frequent ones, so many at most, which bounds the broadcast.
@@ -205,21 +205,21 @@ def lattice_scores(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
     scratch = Scratch(spark, "lattice")
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (crc % 10 == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    words = scratch.write(docs.select("held_out", "text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    words = scratch.write(docs.select("held_out", "text").mapInArrow(in_slices(_count), "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = docs.where(~F.col("held_out")).count()
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = total + ends, distinct + (1 if ends else 0)
 
     prior, data = existing_scores(vocabulary)
     first = context.broadcast(Lattice({k: math.log(p) for k, p in prior.items()}, [math.log(p) for p in data]))
-    counted = words.where("c > 0").mapInArrow(_segment(first), "piece string, is_byte boolean, c long").groupBy("piece", "is_byte").agg(F.sum("c").alias("c")).collect()
+    counted = words.where("c > 0").mapInArrow(in_slices(_segment(first)), "piece string, is_byte boolean, c long").groupBy("piece", "is_byte").agg(F.sum("c").alias("c")).collect()
     c_piece = {r["piece"]: r["c"] for r in counted if not r["is_byte"]}
     c_byte = {int(r["piece"][1:-1]): r["c"] for r in counted if r["is_byte"]}
     mass = sum(c_piece.values()) + sum(c_byte.values()) + PRIOR + ends + 1
     model = context.broadcast(
         Lattice({k: math.log((c_piece.get(k, 0) + PRIOR * p) / mass) for k, p in prior.items()}, [math.log((c_byte.get(b, 0) + PRIOR * p) / mass) for b, p in enumerate(data)])
     )
-    scored = scratch.write(words.mapInArrow(_forward(model), "word string, c long, lp double"), "scored")
+    scored = scratch.write(words.mapInArrow(in_slices(_forward(model)), "word string, c long, lp double"), "scored")
     scratch.drop("words")
 
     bottom = n + 0.1 * (v + 1)
@@ -236,7 +236,7 @@ def lattice_scores(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
     head = context.broadcast({r["word"].encode("utf-8", "surrogatepass"): (r["base"], r["lp"]) for r in scored.where(in_head).select("word", "base", "lp").toLocalIterator()})
 
     schema = "doc_id long, held_out boolean, words long, known long, base double, score double, rest array<string>, times array<long>"
-    parts = scratch.write(docs.mapInArrow(_score_head(head), schema).withColumn("row", F.monotonically_increasing_id()), "parts")
+    parts = scratch.write(docs.mapInArrow(in_slices(_score_head(head)), schema).withColumn("row", F.monotonically_increasing_id()), "parts")
     tail = parts.select("row", F.explode(F.arrays_zip("rest", "times")).alias("t")).select("row", F.col("t.rest").alias("word"), F.col("t.times").alias("times"))
     other = scored.where(~in_head)
     sums = tail.join(other, "word").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.col("base")).alias("b"), F.sum(F.col("times") * F.col("lp")).alias("s"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm._common import Scratch, hash_words, mix
+from cladeframe.llm._common import Scratch, hash_words, in_slices, mix
 from cladeframe.llm.components import connected_components
 
 ROWS, BANDS = 7, 42
@@ -114,7 +114,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     spark = documents.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.write(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
+    sketch = scratch.write(docs.mapInArrow(in_slices(_sketches(words)), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
     reps = scratch.write(sketch.where("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
     chosen = sketch.join(reps.select(F.col("rep").alias("doc_id"), F.col("k1").alias("r1"), F.col("k2").alias("r2")), "doc_id").where("k1 = r1 and k2 = r2")
     members = scratch.write(chosen.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "members")
@@ -124,7 +124,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * similarity
     needed = scratch.write(shared.select("id").distinct(), "needed")
-    sets = scratch.write(docs.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(words), "id long, items array<long>, bits array<long>"), "sets")
+    sets = scratch.write(docs.join(needed.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(in_slices(_sets(words)), "id long, items array<long>, bits array<long>"), "sets")
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""

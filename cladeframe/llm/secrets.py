@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladeframe.llm._common import in_slices
+
 #: The base patterns of the contract, in the order of the kinds, with the least length of what they must hold.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -285,7 +287,7 @@ def secret_spans(documents: DataFrame) -> DataFrame:
             )
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return docs.mapInArrow(in_slices(run), "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
 
 
 def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -316,4 +318,4 @@ def redact_secrets(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in documents.schema])
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(in_slices(run), schema)
