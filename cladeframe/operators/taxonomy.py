@@ -6,7 +6,7 @@ as many rows as a taxonomy has taxa (a few million), whatever the reads are, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACES_PER_LEVEL = 2
@@ -28,7 +28,7 @@ def parse_report(lines: DataFrame, column: str = "value") -> DataFrame:
         number(F.get(part, F.lit(1)), "clade count").alias("num_fragments_clade"),
         number(F.get(part, F.lit(2)), "direct count").alias("num_fragments_direct"),
         F.trim(at(3, 5)).alias("rank_code"),
-        number(at(4, 6), "taxon ID").alias("taxon_id"),
+        F.when(F.size(part).isin(6, 8), number(at(4, 6), "taxon ID")).otherwise(fail("expected 6 or 8 columns")).alias("taxon_id"),
         F.trim(name).alias("name"),
         F.when(indent % SPACES_PER_LEVEL == 0, indent).otherwise(fail(f"indent is not a multiple of {SPACES_PER_LEVEL}")).alias("indent"),
         F.when(wide, number(F.get(part, F.lit(3)), "minimizer count")).alias("minimizer_count"),
@@ -129,5 +129,5 @@ def target_set(nodes: DataFrame | None, taxa: DataFrame, include_descendants: bo
     return out.distinct()
 
 
-def node_count(nodes: DataFrame) -> Column:
+def node_count(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("n_taxa"))
