@@ -74,7 +74,7 @@ class Lattice:
             piece = s[back[to] : to]
             out.append(piece if self.pieces.get(piece) is not None else piece.encode("utf-8", "surrogatepass"))
             to = back[to]
-        return out
+        return out[::-1]
 
 
 def existing_scores(path: str = VOCABULARY) -> tuple[dict[str, float], list[float]]:
