@@ -12,7 +12,7 @@ BLOCK, SLOTS, MOST = 64, 4096, 3
 #: Documents of a run: a source is dealt by hash to enough runs that each run is a small sort, and the runs follow each other.
 RUN_DOCS = 4096
 #: Slots that one row of the draw unfolds to.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 WEIGHTS = (1, 2, 3)
 _KEYS = tuple(range(1, 13))
 
@@ -89,7 +89,9 @@ def _slots(sources: DataFrame) -> DataFrame:
     """
     last = F.col("first_draw") + F.col("draws") - 1
     some = sources.where("draws > 0").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first_draw") / CHUNK), F.floor(last / CHUNK))))
-    some = some.repartition("chunk", "sk").withColumn("draw", F.explode(F.sequence(F.greatest("first_draw", F.col("chunk") * CHUNK), F.least(last, F.col("chunk") * CHUNK + CHUNK - 1))))
+    # A fixed number of partitions: a few rows unfold to all slots, so Spark must not coalesce them by their size.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = some.repartition(tasks, "chunk", "sk").withColumn("draw", F.explode(F.sequence(F.greatest("first_draw", F.col("chunk") * CHUNK), F.least(last, F.col("chunk") * CHUNK + CHUNK - 1))))
     nth = F.col("draw") - F.col("first_draw")
     placed = some.select("sk", "blocks", nth.alias("nth"), permuted(F.col("draw"), F.col("all_draws"), F.lit("slot")).alias("place"))
     block = permuted(F.pmod("nth", F.col("blocks")), F.col("blocks"), F.col("sk"), F.floor(F.col("nth") / F.col("blocks")))
