@@ -38,7 +38,8 @@ def _taxa(spark: SparkSession, ids=TARGETS) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.tree(view(spark, sf_dir, "report"))
+    """The tree, kept: a taxonomy is small whatever the reads are, and its walks read it once a level."""
+    return taxonomy.tree(view(spark, sf_dir, "report")).persist()
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
