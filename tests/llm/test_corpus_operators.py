@@ -81,7 +81,7 @@ def test_components(spark):
     assert {r.node: r.label for r in got.collect()} == part
 
 
-def test_decontamination(spark, docs, texts, empty):
+def test_decontamination(spark, docs, texts, empty, monkeypatch):
     items = [(1, texts[0][:200]), (10, texts[5]), (2, "one"), (3, None), (4, "two words"), (5, "nowhere to be found at all"), (6, texts[0][:200]), (None, texts[6])]
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, n_words int")
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
@@ -101,6 +101,24 @@ def test_decontamination(spark, docs, texts, empty):
                     found |= windows[tuple(w[p : p + n])]
         r = got[k]
         assert (r.n_words, r.n_hit, r["items"], r.contaminated) == (len(w), len(hit), sorted(str(i) for i in found if i is not None), 0 < 20 * len(hit) >= len(w)), k
+    for k, t in enumerate(texts):
+        w, longest = cut(t), []
+        for item in {min(str(i) for i, x in items if x == y and i is not None) if any(x == y and i is not None for i, x in items) else "": cut(y) for _, y in items if cut(y)}.items():
+            for a in range(len(w)):
+                for b in range(len(item[1])):
+                    if w[a] == item[1][b] and (a == 0 or b == 0 or w[a - 1] != item[1][b - 1]):
+                        n = 0
+                        while a + n < len(w) and b + n < len(item[1]) and w[a + n] == item[1][b + n]:
+                            n += 1
+                        if n >= min(13, len(item[1])):
+                            longest.append(f"{item[0]}:{b}:{a}:{n}")
+        assert sorted(longest) == sorted(got[k].matches), k
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)  # a pass for each block finds the same
+    apart = by_id(decontaminate.contamination(docs, bench))
+    assert all((apart[k].n_words, apart[k].n_hit, apart[k]["items"], apart[k].spans, apart[k].contaminated) == (r.n_words, r.n_hit, r["items"], r.spans, r.contaminated) for k, r in got.items())
+    split = decontaminate.remove_contaminated(docs, bench)
+    assert split.columns == docs.columns and {r.doc_id for r in split.collect()} == {k for k, r in got.items() if not r.contaminated}
+    monkeypatch.undo()
     kept = {r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()}
     assert kept == {k for k, r in got.items() if not r.contaminated}
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
@@ -112,10 +130,11 @@ def test_decontamination_of_split_documents(monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
     words = [f"v{k % 50}" for k in range(500)]
     block = decontaminate.QueryBlock([("a", decontaminate.contract_words(" ".join(words[30:60])))])
-    found = decontaminate._scan([" ".join(words)], [block])[0].row()
+    found = decontaminate._scan([" ".join(words)], block)[0].row(block)
     windows = {tuple(words[30 + k : 43 + k]) for k in range(18)}
     hit = {q for p in range(488) if tuple(words[p : p + 13]) in windows for q in range(p, p + 13)}
     assert found[:3] == (500, len(hit), ["a"]) and isinstance(block.queries, np.ndarray)
+    assert found[4] == [f"a:0:{k}:{min(30, 500 - k)}" for k in range(30, 500, 50)]
 
 
 def test_quality(docs, texts, empty):
