@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _INT = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+#: What blocks of the public tools begin with, up to the length; blocks of a split that are looked at for its first record.
+BLOCK_START, HEAD_BLOCKS = EOF[:16], 64
+#: Bytes that a record may have where its place must be told.
+LONGEST = 1 << 28
+_FIXED = struct.Struct("<iiiBBHHHiiii")
 SCHEMA = "ord long, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags array<struct<tag:string,type:string,value:string>>"
 _FIELDS = [f.split(" ", 1)[0] for f in SCHEMA.split(", ")]
 _TAG = pa.list_(pa.struct([("tag", pa.string()), ("type", pa.string()), ("value", pa.string())]))
@@ -80,32 +85,176 @@ def _tags(data: bytes, at: int, end: int) -> list[dict]:
     return out
 
 
+def record(data, at: int, names: list[str]) -> tuple[tuple, int]:
+    """The alignment that begins at a place, in the order of SCHEMA without ord, and where it ends."""
+    ref = lambda k: names[k] if k >= 0 else None
+    size, ref_id, pos, l_name, mapq, _, n_ops, flag, l_seq, next_ref, next_pos, tlen = _FIXED.unpack_from(data, at)
+    end, p = at + 4 + size, at + 36
+    name = data[p : p + l_name - 1].decode()
+    p += l_name
+    cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, p))
+    p += 4 * n_ops
+    packed = data[p : p + (l_seq + 1) // 2]
+    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
+    p += len(packed)
+    qual = data[p : p + l_seq]
+    p += l_seq
+    other = "*" if next_ref < 0 else "=" if next_ref == ref_id else names[next_ref]
+    quality = "*" if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode()
+    return (name if name != "*" else None, flag, ref(ref_id), pos + 1 if pos >= 0 else None, mapq, cigar or None, other, next_pos + 1, tlen, seq, quality, _tags(data, p, end)), end
+
+
 def records(data: bytes):
     """Alignments of an inflated file as tuples in the order of SCHEMA."""
     _, names, at = split_header(data)
-    ref = lambda k: names[k] if k >= 0 else None
     ord_ = 0
     while at < len(data):
-        size, ref_id, pos, l_name, mapq, _, n_ops, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiiBBHHHiiii", data, at)
-        end, p = at + 4 + size, at + 36
-        name = data[p : p + l_name - 1].decode()
-        p += l_name
-        cigar = "".join(f"{x >> 4}{OPS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, p))
-        p += 4 * n_ops
-        packed = data[p : p + (l_seq + 1) // 2]
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:l_seq]
-        p += len(packed)
-        qual = data[p : p + l_seq]
-        p += l_seq
-        other = "*" if next_ref < 0 else "=" if next_ref == ref_id else names[next_ref]
-        yield ord_, name if name != "*" else None, flag, ref(ref_id), pos + 1 if pos >= 0 else None, mapq, cigar or None, other, next_pos + 1, tlen, seq, "*" if not qual or qual[0] == 255 else bytes(q + 33 for q in qual).decode(), _tags(data, p, end)
+        one, at = record(data, at, names)
+        yield ord_, *one
         ord_ += 1
-        at = end
+
+
+def _plausible(data: bytes, at: int, n_refs: int) -> int | None:
+    """Where a record that begins here would end, if what can be seen of it may be one; past the data if it is cut."""
+    if at + 36 > len(data):
+        return len(data) + 1
+    size, ref_id, pos, l_name, _, _, n_ops, _, l_seq, next_ref, next_pos, _ = _FIXED.unpack_from(data, at)
+    if l_name < 1 or l_seq < 0 or 32 + l_name + 4 * n_ops + (l_seq + 1) // 2 + l_seq > size or size > LONGEST:
+        return None
+    if not (-1 <= ref_id < n_refs and -1 <= next_ref < n_refs and pos >= -1 and next_pos >= -1):
+        return None
+    name = data[at + 36 : at + 36 + l_name]
+    if len(name) == l_name and (name[-1] or not all(33 <= c <= 126 for c in name[:-1])):
+        return None
+    ops = data[at + 36 + l_name : at + 36 + l_name + 4 * n_ops : 4]
+    return at + 4 + size if all(c & 15 < len(OPS) for c in ops) else None
+
+
+def first_record(data: bytes, n_refs: int, closed: bool = False) -> int | None:
+    """The first place from which plausible records follow each other to the end of the data, if there is one.
+
+    The last of them may be cut, unless the data is closed; closed data may also end without any.
+    """
+    for begin in range(len(data) + closed):
+        at: int | None = begin
+        while at is not None and at < len(data):
+            at = _plausible(data, at, n_refs)
+        if at is not None and (at == len(data) or not closed):
+            return begin
+    return None
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """part, id, block: the BGZF blocks of a file without the fixed bytes they begin with, which split it like lines."""
+    blocks = spark.read.option("encoding", "ISO-8859-1").option("lineSep", BLOCK_START.decode("latin-1")).text(path)
+    place = F.monotonically_increasing_id()
+    return blocks.select(F.shiftright(place, 33).cast("int").alias("part"), place.alias("id"), F.col("value").cast("binary").alias("block"))
+
+
+def _body(block: bytes) -> bytes:
+    """What a block without its first 16 bytes holds; a block of another length than it says is no block."""
+    if not block:
+        return b""
+    if struct.unpack_from("<H", block)[0] + 1 != len(block) + len(BLOCK_START):
+        raise ValueError("malformed BGZF block")
+    return zlib.decompress(block[2:-8], -15)
+
+
+def _start(blocks: DataFrame) -> tuple[list[str], list[str], int]:
+    """Header lines, reference names and where the records begin, from as many of the first blocks as that takes."""
+    n = 16
+    while True:
+        some = sorted(blocks.limit(n).collect())
+        data = b"".join(_body(bytes(r.block)) for r in some)
+        try:
+            header, names, at = split_header(data)
+            if at <= len(data):
+                return header, names, at
+        except (struct.error, UnicodeDecodeError):
+            pass
+        if len(some) < n:
+            raise ValueError("malformed BAM header")
+        n *= 8
 
 
 def read_bam(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
-    """Header lines and alignments. A file is decoded by one task, and must be below 2 GB; many files go to many tasks."""
+    """Header lines and alignments, ord rising in the order of the file.
+
+    A BGZF file is split like a text whose lines are its blocks. Where the first record of a split begins is told by
+    a chain of plausible records in its first blocks; the bytes before it, less than a record for each split, go to
+    the driver and complete the last record of the split before. That the last record must end right there proves
+    every beginning by the one before it, from the header on; where it doesn't, the read fails. A stream that isn't
+    made of such blocks, or has a split without a beginning to be found, is decoded by one task, below 2 GB.
+    """
     files = spark.read.format("binaryFile").load(path).select("content")
+    blocks = _blocks(spark, path)
+    if not [r for r in blocks.limit(1).collect() if not r.block]:  # a file of blocks begins with one
+        return _read_whole(files)
+    header, names, begin = _start(blocks)
+    n_refs = len(names)
+
+    def heads(batches):
+        data: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data.setdefault(part, []).append(_body(block))
+        rows = []
+        for part, pieces in data.items():
+            whole = b"".join(pieces)
+            for closed in (False, True):
+                if part and not (closed and len(pieces) == HEAD_BLOCKS):
+                    at = first_record(whole, n_refs, closed)
+                    rows.append((part, closed, None if at is None else whole[:at]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.bool_(), pa.binary()))], names=["part", "closed", "head"])
+
+    first = blocks.where(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) < HEAD_BLOCKS)
+    found = {(r.part, r.closed): r.head for r in first.select("part", "block").mapInArrow(heads, "part int, closed boolean, head binary").collect()}
+    parts = sorted({p for p, _ in found})
+    last = parts[-1] if parts else 0
+    after = {p: found.get((p, True), found[p, False]) if p == last else found[p, False] for p in parts}
+    if any(h is None for h in after.values()):
+        return _read_whole(files)
+    skip = {0: begin} | {p: len(h) for p, h in after.items()}
+    after = {p: bytes(after[q]) for p, q in zip([0, *parts], parts, strict=False)}
+
+    def decode(batches):
+        pending, part, rows, n = b"", None, [], 0
+
+        def take(data: bytes):
+            nonlocal n
+            at = 0
+            while at + 4 <= len(data) and at + 4 + (size := struct.unpack_from("<i", data, at)[0]) <= len(data):
+                if size < 32:
+                    raise ValueError("malformed BAM record")
+                one, at = record(data, at, names)
+                rows.append(((part << 33) + n, *one))
+                n += 1
+            return data[at:]
+
+        for batch in batches:
+            for part_, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = _body(block)
+                if part is None:
+                    part, todo = part_, skip[part_]
+                if todo:
+                    todo, data = todo - min(todo, len(data)), data[todo:]
+                pending = take(pending + data)
+                if len(rows) >= 10000:
+                    yield _batch(rows)
+                    rows.clear()
+        if part is not None:
+            if todo:
+                raise ValueError("the header of the BAM file is longer than a split")
+            rest = take(pending + after.get(part, b""))
+            if rest:
+                raise ValueError("truncated BAM file" if part == last else "a split of the BAM file does not end where the next begins")
+            yield _batch(rows)
+
+    return header, blocks.select("part", "block").mapInArrow(decode, SCHEMA)
+
+
+def _read_whole(files: DataFrame) -> tuple[list[str], DataFrame]:
+    """Header lines and alignments of a file that one task decodes."""
 
     def header(batches):
         for batch in batches:

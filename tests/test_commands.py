@@ -1,6 +1,7 @@
 """The commands, file to file."""
 
 import gzip
+import random
 import struct
 
 import pytest
@@ -57,6 +58,36 @@ def test_annotate_then_filter_bam(spark, tmp_path):
     assert open(tmp_path / "m.tsv").read().splitlines()[1].split("\t")[:9] == ["false", "1", "0", "1", "0", "2", "1", "3", "0.3333333333333333"]
 
 
+def test_bam_splits(spark, tmp_path):
+    draw = random.Random(4)
+    header = ["@HD\tVN:1.6", "@SQ\tSN:chr1\tLN:100000", "@SQ\tSN:chr2\tLN:5000"]
+    data, refs = bam.encode_header(header)
+    rows = []
+    for k in range(5000):
+        n = draw.choice((0, 1, 50, 151, 151, 151, 3000 if k % 50 else 150000))
+        one = {"qname": f"read:{k}", "flag": draw.choice((0, 4, 16)), "rname": draw.choice((None, "chr1", "chr2")), "pos": draw.choice((None, 1, 777)), "mapq": 60, "cigar": f"{n}M" if n else None, "rnext": "*", "pnext": 0, "tlen": 0}
+        rows.append(one | {"seq": "".join(draw.choices("ACGTN", k=n)), "qual": "".join(chr(33 + draw.randrange(40)) for _ in range(n)) or None, "tags": [{"tag": "ti", "type": "i", "value": str(k)}]})
+    data += b"".join(bam.encode_record(r, refs) for r in rows)
+    path = tmp_path / "a.bam"
+    path.write_bytes(bam.deflate(data))
+    want = [r[1:3] + r[10:12] for r in bam.records(data)]
+    for size in ("300000", "128MB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            lines, got = bam.read_bam(spark, str(path))
+            assert got.rdd.getNumPartitions() > (size != "128MB") * 4
+            assert lines == header and [tuple(r) for r in got.orderBy("ord").select("qname", "flag", "seq", "qual").collect()] == want
+            path.with_name("cut.bam").write_bytes(bam.deflate(data[:-7]))
+            with pytest.raises(Exception, match="truncated|does not end"):
+                bam.read_bam(spark, str(path.with_name("cut.bam")))[1].count()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    path.write_bytes(gzip.compress(data))  # one stream, no blocks
+    assert [r[1:3] + r[10:12] for r in map(tuple, bam.read_bam(spark, str(path))[1].orderBy("ord").collect())] == [r[1:3] + r[10:12] for r in bam.records(data)]
+
+
 def test_filter_reads(spark, tmp_path):
     reads = write(tmp_path / "r.fq", "".join(f"@{n}\nAC\n+\nII\n" for n in ("a x", "b", "c")))
     calls = write(tmp_path / "c.txt", "C\ta\t5\t1\tx\nC\tb\t6\t1\tx\nC\tz\t6\t1\tx\n")
