@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from cladeframe.functions.names import checked_pair_name, checked_record_name, flag_is, forward_sequence, is_primary, pair_suffix, with_record_suffix
 
 
+#: Ordinals whose rows are walked by one task.
+RUN_CHUNK = 1 << 20
+
+
 def runs(rows: DataFrame, name: str = "qname", ordinal: str = "ord") -> DataFrame:
-    """Adds run: consecutive rows of a name. For input that is only grouped by name; where equal names are contiguous by contract, group by the name instead, which needs no global order."""
-    order = Window.partitionBy(F.lit(0)).orderBy(ordinal)
-    new = (~F.col(name).eqNullSafe(F.lag(name).over(order)) | (F.row_number().over(order) == 1)).cast("long")
-    return rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(order)).drop("_new")
+    """Adds run: consecutive rows of a name, counted from 1. For input that is only grouped by name; where equal names
+    are contiguous by contract, group by the name instead, which needs no order.
+
+    Rows are walked in chunks of RUN_CHUNK ordinals; one row a chunk, its end names and its changes, tells where the
+    count of the next one starts.
+    """
+    order = Window.partitionBy("_chunk").orderBy(ordinal)
+    new = F.when(F.row_number().over(order) > 1, ~F.col(name).eqNullSafe(F.lag(name).over(order))).otherwise(F.lit(False)).cast("long")
+    marked = rows.withColumn("_chunk", F.floor(F.col(ordinal) / RUN_CHUNK)).withColumn("_new", new)
+    chunks = marked.groupBy("_chunk").agg(F.min_by(name, ordinal).alias("_head"), F.max_by(name, ordinal).alias("_tail"), F.sum("_new").alias("_changes"))
+    each = Window.partitionBy(F.lit(0)).orderBy("_chunk")
+    begins = F.when(F.row_number().over(each) > 1, ~F.col("_head").eqNullSafe(F.lag("_tail").over(each))).otherwise(F.lit(True)).cast("long")
+    chunks = chunks.withColumn("_begins", begins)
+    start = F.sum(F.col("_begins") + F.col("_changes")).over(each.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_changes")
+    within = F.sum("_new").over(order)
+    return marked.withColumn("_within", within).join(chunks.select("_chunk", start.alias("_start")), "_chunk").withColumn("run", F.col("_start") + F.col("_within")).drop("_chunk", "_new", "_within", "_start")
 
 
 def single_templates(records: DataFrame, query_grouped: bool = False, per_record: bool = False) -> DataFrame:

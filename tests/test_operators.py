@@ -127,3 +127,17 @@ def test_revert_over_chunks(spark):
 def test_plain_numbers(spark):
     rows = spark.createDataFrame([(1.0,), (0.0,), (0.5,), (5e-7,), (0.9751219512195122,)], "x double")
     assert [r[0] for r in rows.select(plain_number(F.col("x"))).collect()] == ["1", "0", "0.5", "0.0000005", "0.9751219512195122"]
+
+
+def test_runs_over_chunks(spark, monkeypatch):
+    given = [None, None, "a", "a", "b", "b", "b", "b", "b", "b", "a", None, "a", "a", "c"]
+    rows = spark.createDataFrame([(7 * k % 15, given[7 * k % 15]) for k in range(15)] + [(90, "c"), (91, "d")], "ord long, qname string")
+    for chunk in (1, 2, 4, 1 << 20):
+        monkeypatch.setattr(pairing, "RUN_CHUNK", chunk)
+        got = [tuple(r) for r in pairing.runs(rows).orderBy("ord").select("ord", "qname", "run").collect()]
+        want, n = [], 0
+        for k, (at, name) in enumerate([*enumerate(given), (90, "c"), (91, "d")]):
+            n += k == 0 or name != want[-1][1]
+            want.append((at, name, n))
+        assert got == want
+    assert pairing.runs(rows.where("false")).count() == 0
