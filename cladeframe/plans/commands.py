@@ -61,9 +61,10 @@ def read_alignments(spark: SparkSession, path: str) -> tuple[list[str], DataFram
     return header, rows, kind
 
 
-def write_alignments(rows: DataFrame, header: list[str], path: str, level: int = 5) -> None:
+def write_alignments(rows: DataFrame, header: list[str], path: str, level: int = 5, index: bool = True) -> None:
+    """SAM or BAM by extension; a BAM file that is sorted by coordinate gets its index beside it, standard streams don't."""
     if text.infer_format(path) is Format.BAM:
-        bam.write_bam(rows, header, path, level)
+        bam.write_bam(rows, header, path, level, index and text.is_coordinate_sorted(header) and not text.is_pseudo_path(path))
     elif text.infer_format(path) is Format.CRAM:
         raise ValueError("CRAM needs an external encoder and is not supported")
     else:
@@ -256,7 +257,7 @@ def run_n2ref(spark: SparkSession, input: str, output: str, reference: str, qual
         raise ValueError(f"the reference has no index: {reference}.fai")
     header, rows, _ = read_alignments(spark, input)
     contigs = text.read_fasta(spark, reference).select(F.col("name").alias("contig"), "seq")
-    write_alignments(nrevert.revert_n_calls(rows, contigs, quality).drop("converted"), header, output, level)
+    write_alignments(nrevert.revert_n_calls(rows, contigs, quality).drop("converted"), header, output, level, index=False)
 
 
 def run_report2tsv(spark: SparkSession, input: str, output: str) -> None:

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _INT = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
 EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+#: Bytes that a block holds.
+BLOCK = 65280
 #: What blocks of the public tools begin with, up to the length; blocks of a split that are looked at for its first record.
 BLOCK_START, HEAD_BLOCKS = EOF[:16], 64
 #: Bytes that a record may have where its place must be told.
 LONGEST = 1 << 28
+#: The bin of the public index format that holds counts.
+SUMMARY_BIN = 37450
 _FIXED = struct.Struct("<iiiBBHHHiiii")
 SCHEMA = "ord long, qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags array<struct<tag:string,type:string,value:string>>"
 _FIELDS = [f.split(" ", 1)[0] for f in SCHEMA.split(", ")]
@@ -35,15 +39,15 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def _block(part: bytes, level: int) -> bytes:
+    c = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = c.compress(part) + c.flush()
+    return struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
+
+
 def deflate(data: bytes, level: int = 5) -> bytes:
     """BGZF blocks and the end marker."""
-    out = []
-    for at in range(0, len(data), 65280):
-        part = data[at : at + 65280]
-        c = zlib.compressobj(level, zlib.DEFLATED, -15)
-        body = c.compress(part) + c.flush()
-        out.append(struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join([*out, EOF])
+    return b"".join([*(_block(data[at : at + BLOCK], level) for at in range(0, len(data), BLOCK)), EOF])
 
 
 def split_header(data: bytes) -> tuple[list[str], list[str], int]:
@@ -341,21 +345,87 @@ def encode_record(r, refs: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def write_bam(alignments: DataFrame, header: list[str], path: str, level: int = 5) -> None:
-    """One local file in the order of ord. Rows stream through the driver a partition at a time; the file appears when whole."""
+class Index:
+    """The public index of a sorted file: per reference the chunks of its bins and where its 16 kb windows begin.
+
+    Offsets are counted in the inflated file, and told as virtual ones when all blocks are written.
+    """
+
+    def __init__(self, n_refs: int):
+        self.bins: list[dict[int, list[list[int]]]] = [{} for _ in range(n_refs)]
+        self.windows: list[dict[int, int]] = [{} for _ in range(n_refs)]
+        self.counts, self.unplaced = [[0, 0] for _ in range(n_refs)], 0
+
+    def add(self, encoded: bytes, begin: int) -> None:
+        _, ref, pos, l_name, _, bin_, n_ops, flag, *_ = _FIXED.unpack_from(encoded)
+        if ref < 0 or pos < 0:
+            self.unplaced += 1
+            return
+        ops = struct.unpack_from(f"<{n_ops}I", encoded, 36 + l_name)
+        last = pos + max(1, sum(x >> 4 for x in ops if OPS[x & 15] in "M=XDN")) - 1
+        chunks = self.bins[ref].setdefault(bin_, [])
+        if chunks and chunks[-1][1] // BLOCK >= begin // BLOCK:
+            chunks[-1][1] = begin + len(encoded)
+        else:
+            chunks.append([begin, begin + len(encoded)])
+        for w in range(pos >> 14, (last >> 14) + 1):
+            self.windows[ref].setdefault(w, begin)
+        self.counts[ref][flag >> 2 & 1] += 1
+
+    def encode(self, blocks: list[int]) -> bytes:
+        """blocks has where each block of the file begins, the end marker too."""
+        place = lambda at: blocks[at // BLOCK] << 16 | at % BLOCK
+        out = [b"BAI\x01", struct.pack("<i", len(self.bins))]
+        for bins, windows, counts in zip(self.bins, self.windows, self.counts, strict=True):
+            out.append(struct.pack("<i", len(bins) + bool(bins)))
+            for bin_, chunks in sorted(bins.items()):
+                out.append(struct.pack("<Ii", bin_, len(chunks)) + b"".join(struct.pack("<QQ", place(a), place(b)) for a, b in chunks))
+            if bins:
+                ends = [x for chunks in bins.values() for c in chunks for x in c]
+                out.append(struct.pack("<Ii4Q", SUMMARY_BIN, 2, place(min(ends)), place(max(ends)), *counts))
+            at, linear = 0, []
+            for w in range(max(windows, default=-1) + 1):
+                at = place(windows[w]) if w in windows else at
+                linear.append(at)
+            out.append(struct.pack(f"<i{len(linear)}Q", len(linear), *linear))
+        return b"".join([*out, struct.pack("<Q", self.unplaced)])
+
+
+def write_bam(alignments: DataFrame, header: list[str], path: str, level: int = 5, index: bool = False) -> None:
+    """One local file in the order of ord, and its index at path.bai if asked for.
+
+    Rows stream through the driver a partition at a time; the files appear when whole.
+    """
     import os
 
     head, refs = encode_header(header)
+    found, blocks = Index(len(refs)), [0]
     with open(part := f"{path}.part", "wb") as f:
         pending = bytearray(head)
+
+        def flush(last: bool) -> None:
+            cut = len(pending) if last else len(pending) // BLOCK * BLOCK
+            for at in range(0, cut, BLOCK):
+                f.write(_block(bytes(pending[at : min(at + BLOCK, cut)]), level))
+                blocks.append(f.tell())
+            del pending[:cut]
+
+        size = len(head)
         for r in alignments.orderBy("ord").toLocalIterator():
-            pending += encode_record(r, refs)
+            one = encode_record(r, refs)
+            if index:
+                found.add(one, size)
+            pending += one
+            size += len(one)
             if len(pending) > 1 << 22:
-                cut = len(pending) // 65280 * 65280
-                f.write(deflate(bytes(pending[:cut]), level)[: -len(EOF)])
-                del pending[:cut]
-        f.write(deflate(bytes(pending), level))
+                flush(False)
+        flush(True)
+        f.write(EOF)
     os.replace(part, path)
+    if index:
+        with open(part := f"{path}.bai.part", "wb") as f:
+            f.write(found.encode(blocks))
+        os.replace(part, f"{path}.bai")
 
 
 def text_lines(alignments: DataFrame) -> DataFrame:

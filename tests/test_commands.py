@@ -88,6 +88,53 @@ def test_bam_splits(spark, tmp_path):
     assert [r[1:3] + r[10:12] for r in map(tuple, bam.read_bam(spark, str(path))[1].orderBy("ord").collect())] == [r[1:3] + r[10:12] for r in bam.records(data)]
 
 
+def test_bam_index(spark, tmp_path):
+    draw = random.Random(8)
+    places = sorted((draw.randrange(2), draw.randrange(60000)) for _ in range(3000))
+    body = "".join(f"r{k}\t{(0, 16, 4)[k % 3]}\tc{ref}\t{pos + 1}\t60\t60M20000N40M\t*\t0\t0\t{''.join(draw.choices('ACGT', k=100))}\t*\n" for k, (ref, pos) in enumerate(places))
+    source = write(tmp_path / "a.sam", "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:c0\tLN:90000\n@SQ\tSN:c1\tLN:90000\n@SQ\tSN:c2\tLN:9\n" + body + "u\t4\t*\t0\t0\t*\t*\t0\t0\tAC\t*\n")
+    header, rows, _ = commands.read_alignments(spark, source)
+    path = tmp_path / "a.bam"
+    commands.write_alignments(rows, header, str(path))
+    data, raw = (tmp_path / "a.bam.bai").read_bytes(), path.read_bytes()
+    at = 4
+
+    def take(form):
+        nonlocal at
+        at += struct.calcsize(form)
+        return struct.unpack_from(form, data, at - struct.calcsize(form))
+
+    def read(begin, end):
+        """Names, and places, of the records between two virtual offsets."""
+        whole = lambda v: len(bam.inflate(raw[: v >> 16])) + (v & 65535)
+        a, b = whole(begin), whole(end)
+        flat = bam.inflate(raw)
+        while a < b:
+            one, a = bam.record(flat, a, ["c0", "c1", "c2"])
+            yield one[0], one[2], one[3] - 1
+
+    assert data[:4] == b"BAI\x01" and take("<i") == (3,)
+    counts = []
+    for ref in range(3):
+        bins = {}
+        for _ in range(take("<i")[0]):
+            bin_, n = take("<Ii")
+            bins[bin_] = [take("<QQ") for _ in range(n)]
+        linear = take(f"<{take('<i')[0]}Q")
+        counts.append(bins.pop(37450, [0, (0, 0)])[1])
+        got = {b: {name for c in chunks for name, *_ in read(*c)} for b, chunks in bins.items()}
+        for k, (r, pos) in enumerate(places):
+            if r == ref:
+                assert f"r{k}" in got[bam._bin(pos, pos + 20100)]
+        for w in range(0, len(linear), 2):
+            first = next(read(linear[w], linear[w] + 1), None)
+            reach = min(p for r, p in places if r == ref and p >> 14 <= w <= (p + 20099) >> 14)
+            assert first[1:] == (f"c{ref}", reach)
+    assert counts == [tuple(sum(r == ref and (k % 3 == 2) == un for k, (r, _) in enumerate(places)) for un in (False, True)) for ref in range(3)] and take("<Q") == (1,) and at == len(data)
+    commands.write_alignments(rows, ["@HD\tVN:1.6", *header[1:]], str(tmp_path / "b.bam"))
+    assert not (tmp_path / "b.bam.bai").exists()
+
+
 def test_filter_reads(spark, tmp_path):
     reads = write(tmp_path / "r.fq", "".join(f"@{n}\nAC\n+\nII\n" for n in ("a x", "b", "c")))
     calls = write(tmp_path / "c.txt", "C\ta\t5\t1\tx\nC\tb\t6\t1\tx\nC\tz\t6\t1\tx\n")
