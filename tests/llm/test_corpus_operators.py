@@ -303,6 +303,22 @@ def test_units_cut_passages_inside_lines():
     assert len({d for *_, d in a if d} & {d for *_, d in b if d}) == 2
 
 
+def test_whole_lines_are_units_whatever_their_length(spark):
+    tail = "and here follow many more words that fill this line up to its end"
+    rows = [
+        (1, f"Alpha beta gamma.\nAll rights reserved\nYes. {tail}\nw1 w2 w3. w4 w5 w6 w7 w8\n..."),
+        (2, f"Other words\nALL  rights reserved \r\nNew line. Yes.\nYes. {tail}\n!!!\n..."),
+        (3, "Short text."),
+        (4, "short text"),
+    ]
+    got = by_id(line_dedup.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")))
+    left = {k: line_dedup.without(t, got[k].removed).split() for k, t in rows}
+    assert got[1].removed == "" and left[2] == ["Other", "words", "New", "line.", "Yes.", "!!!"] and left[3] == ["Short", "text."] and left[4] == []
+    for r in got.values():
+        at = [int(x) for span in r.removed.split(",") if span for x in span.split(":")]
+        assert at == sorted(at) and len(at) == 2 * r.n_removed  # no span inside another
+
+
 def test_licenses(spark, docs, empty):
     mit = dict(licenses.TEMPLATES)["MIT"]
     changed = mit.replace("hereby granted", "now granted").replace("a copy of this", "one copy of that")
