@@ -207,6 +207,12 @@ def test_secrets(spark, docs, texts, empty):
     assert back[0].text == texts[0] and len(secrets.redact_secrets(docs).columns) == len(docs.columns) and secrets.secret_spans(empty).count() == 0
 
 
+def test_states_are_compared_to_the_end_of_their_trees():
+    chain = ("x",) * 70
+    model = secrets.Automaton([("a", *chain, "y")] * 100 + [("b", *chain, "z")] * 100)
+    assert model.score(("a", *chain, "y")) > model.score(("a", *chain, "z")) + 5
+
+
 def test_mixing(docs, texts, empty):
     rows = mixing.mix(docs).collect()
     again = sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
