@@ -156,39 +156,55 @@ class Automaton:
 
 #: Pieces of everyday long tokens: words, paths, addresses, versions, dates, numbers and UUIDs.
 _PLAIN_PIECES = ("alpha", "report", "house", "Reading", "the", "configuration", "index", "data", "set", "Internal", "process", "and", "value", "www", "example", "com", "html", "users", "local", "share", "version", "ciones", "lichkeit", "mente", "heitung", "release", "notes", "image", "large", "final")
-
-
-def plain_tokens(samples: int = 1500, seed: int = SEED + 1) -> list[str]:
+_PLAIN_ENDS = ("", ".html", ".jpg", ".tar.gz", ".csv", ".png")
+
+
+def _plain(draw: random.Random, kind: int) -> str:
+    words = [draw.choice(_PLAIN_PIECES) for _ in range(draw.randint(3, 8))]
+    digits = lambda n: "".join(draw.choice(_DIGIT) for _ in range(n))
+    number = lambda: digits(draw.randint(1, 5))
+    if kind == 0:
+        return "".join(words).lower()
+    if kind == 1:
+        return "/".join(words)
+    if kind == 2:
+        return "-".join(words) + draw.choice(["", "-2021", ".html", "-12"])
+    if kind == 3:
+        return "_".join(words).upper() if draw.random() < 0.5 else "_".join(words)
+    if kind == 4:
+        return ".".join(words) + draw.choice(["", ".", "..."])
+    if kind == 5:
+        return "-".join("".join(draw.choice(_HEXA) for _ in range(n)) for n in (8, 4, 4, 4, 12))
+    if kind == 6:
+        return draw.choice(["", "v", "id="]) + draw.choice([".", "-", "/", ""]).join(str(draw.randint(1, 9999)) for _ in range(draw.randint(4, 7)))
+    if kind == 7:
+        return words[0].lower() * (draw.random() < 0.5) + "".join(w.capitalize() for w in words) + draw.choice(["", number()])
+    if kind == 8:
+        return draw.choice("_-").join(words).lower() + draw.choice("_-") + number() + draw.choice(_PLAIN_ENDS)
+    if kind == 9:
+        path = "".join(draw.choice("//-_") + draw.choice([w, w.lower(), w[0]]) for w in words[2:]) + draw.choice(["", "/" + number()])
+        return draw.choice(["", "/", "//", "//www."]) + ".".join(words[:2]).lower() + path + draw.choice(_PLAIN_ENDS)
+    if kind == 10:
+        return "".join(draw.choice(_UPPER) for _ in range(draw.randint(2, 4))) + draw.choice(["", "_", "-"]) + digits(draw.randint(8, 10)) + draw.choice(["", "_", "-"]) + digits(draw.randint(6, 12)) + draw.choice(_PLAIN_ENDS)
+    if kind == 11:
+        return draw.choice("-_").join(words[:3]).lower() + "-" + ".".join(number() for _ in range(3)) + draw.choice(["", "-linux-x86_64", "_amd64", "-win32"]) + draw.choice(_PLAIN_ENDS)
+    if kind == 12:
+        return "".join(draw.choice(_LOWER) for _ in range(draw.randint(2, 6))) + draw.choice("_.-") + draw.choice(["", "-".join(words[:2]) + "-"]) + ".".join(number() for _ in range(3)) + draw.choice(["", "-linux-x86_64", "_amd64", "-win32"]) + draw.choice(_PLAIN_ENDS)
+    if kind == 13:
+        return "".join(words[:4]).lower() + draw.choice([".", "-", "/", ""]) + number()
+    return draw.choice("_-/+=.xX0") * draw.randint(LEAST, 60) + draw.choice(["", draw.choice(_PLAIN_PIECES)])
+
+
+def plain_tokens(samples: int = 3000, seed: int = SEED + 1) -> list[str]:
     """The background sample: tokens of 16 characters and more that are no credentials."""
     draw, out = random.Random(seed), []
     while len(out) < samples:
-        kind = len(out) % 7
-        words = [draw.choice(_PLAIN_PIECES) for _ in range(draw.randint(3, 8))]
-        if kind == 0:
-            t = "".join(words).lower()
-        elif kind == 1:
-            t = "/".join(words)
-        elif kind == 2:
-            t = "-".join(words) + draw.choice(["", "-2021", ".html", "-12"])
-        elif kind == 3:
-            t = "_".join(words).upper() if draw.random() < 0.5 else "_".join(words)
-        elif kind == 4:
-            t = ".".join(words) + draw.choice(["", ".", "..."])
-        elif kind == 5:
-            t = "-".join("".join(draw.choice(_HEXA) for _ in range(n)) for n in (8, 4, 4, 4, 12))
-        else:
-            t = draw.choice(["", "v", "id="]) + draw.choice([".", "-", "/", ""]).join(str(draw.randint(1, 9999)) for _ in range(draw.randint(4, 7)))
+        t = _plain(draw, len(out) % 15)
         if len(t) >= LEAST:
             out.append(t)
     return out
 
 
-def _density(token: str) -> float:
-    """Log likelihood ratio a character of the classes of neighbours: credentials change class at random, words don't."""
-    changes = sum(symbol(a) != symbol(b) for a, b in zip(token, token[1:], strict=False))
-    return changes / max(1, len(token) - 1)
-
-
 @lru_cache(maxsize=1)
 def models() -> tuple[Automaton, Automaton, float]:
     """Automata of credentials and of plain tokens, and the ratio a character that separates their samples best."""
@@ -214,11 +230,7 @@ def likelihood_ratio(token: str) -> float:
 
 @lru_cache(maxsize=65536)
 def _is_secret(token: str) -> bool:
-    classes = {symbol(c) for c in token}
-    if "9" not in classes or not classes & {"U", "l"}:
-        return False
-    entropy = -sum(n / len(token) * math.log2(n / len(token)) for n in Counter(token).values())
-    return entropy >= 3.0 and _density(token) >= 0.2 and likelihood_ratio(token) > 0
+    return likelihood_ratio(token) > 0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -269,8 +281,7 @@ def secret_spans(documents: DataFrame) -> DataFrame:
     """Secrets in every whole text: doc_id, n_assign, n_access, n_hex, n_format, base_sha256 and spans.
 
     Needs doc_id and text; other columns are ignored. Base spans are those of the contract's patterns. The method
-    adds spans of kind format: every run of 16 and more credential characters with letters and digits that meets no
-    base span is scored by two automata, inferred by merging the compatible states of prefix trees of labelled
+    adds spans of kind format: every run of 16 and more credential characters that meets no base span is scored by two automata, inferred by merging the compatible states of prefix trees of labelled
     credentials and of plain tokens, and kept if the log likelihood ratio a character passes the threshold that
     separates the labelled samples best; private key blocks are kept whole. Training is bounded by SAMPLES
     credentials a format and is the same on each worker. One pass, no shuffle. A null text is empty; each row is

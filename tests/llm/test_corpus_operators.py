@@ -207,6 +207,18 @@ def test_secrets(spark, docs, texts, empty):
     assert back[0].text == texts[0] and len(secrets.redact_secrets(docs).columns) == len(docs.columns) and secrets.secret_spans(empty).count() == 0
 
 
+def test_each_format_is_found_by_its_likelihood():
+    draw, n = random.Random(4), 50
+    made = secrets.labelled_credentials(n, 7)
+    for k, (prefix, *_) in enumerate(secrets.FORMATS):
+        assert sum(c.rstrip("-") not in secrets.redact(f"x {c} y") for c in made[k * n : (k + 1) * n]) >= 0.98 * n, prefix
+    letters = lambda pool, n: "".join(draw.choice(pool) for _ in range(n))
+    for c in [f(k) for k in range(n) for f in (lambda k: "hf_" + letters(secrets._UPPER + secrets._LOWER, 34), lambda k: "ASIA" + letters(secrets._UPPER, 16))]:
+        assert secrets.redact(c) == "[SECRET]", c
+    plain = ["Donaudampfschifffahrtsgesellschaft", "AbstractWindowManagerFactory", "IMG_20210304_123456.jpg", "DE89370400440532013000", "_" * 40, "+" * 17, "/usr/lib/python/site-packages", "550e8400-e29b-41d4-a716-446655440000"]
+    assert [t for t in plain if secrets.redact(t) != t] == []
+
+
 def test_states_are_compared_to_the_end_of_their_trees():
     chain = ("x",) * 70
     model = secrets.Automaton([("a", *chain, "y")] * 100 + [("b", *chain, "z")] * 100)
