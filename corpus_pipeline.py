@@ -2,11 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 next stage's docs. All but the last return the columns of docs. The last returns what the mix takes of each document.
-Filters decide by doc_id, so rows that share one stay or go together.
+Filters decide row by row, also where rows share a doc_id or have none.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +16,37 @@ from cladeframe.llm import decontaminate, mixing, near_dedup, quality, secrets
 from cladeframe.llm._common import Scratch, load
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, tag: str) -> DataFrame:
-    """The rows of docs whose doc_id some verdict keeps. Only the ids of the rest, the fewer, meet the texts."""
-    scratch = Scratch(docs.sparkSession, tag)
-    verdicts = scratch.write(verdicts.select(F.col("doc_id").alias("verdict_id"), "kept"), "verdicts")
-    gone = scratch.write(verdicts.groupBy("verdict_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("verdict_id"), "gone")
-    scratch.drop("verdicts")
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("verdict_id")), "left_anti")
+def _keyed(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a key of each row, which is fixed by writing them, and the key's name."""
+    row = next(name for k in count() if (name := f"row{k}") not in docs.columns)
+    return scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "docs"), row
+
+
+def _without(keyed: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """The rows of keyed but for the keys in gone, without the key. Only the keys of what goes, the fewer, meet the texts."""
+    return keyed.join(gone, row, "left_anti").drop(row)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return _kept(docs, quality.quality_rules(docs), "quality-stage")
+    """Documents that the quality rules keep, each row by its own verdict."""
+    scratch = Scratch(spark, "quality-stage")
+    keyed, row = _keyed(docs, scratch)
+    verdicts = quality.quality_rules(keyed.withColumn("doc_id", F.col(row)))
+    return _without(keyed, row, scratch.write(verdicts.where("not kept").select(F.col("doc_id").alias(row)), "gone"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    return _kept(docs, near_dedup.near_duplicates(docs), "dedup-stage")
+    """One row of each group of near-duplicates, of the smallest doc_id, null last: five-word shingles, similarity 0.8 or more."""
+    scratch = Scratch(spark, "dedup-stage")
+    keyed, row = _keyed(docs, scratch)
+    found = near_dedup.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), "component_id")
+    found = scratch.write(found, "components")
+    ids = keyed.select(row, F.col("doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", row)).alias("first")
+    stay = scratch.write(found.join(ids, row).groupBy("component_id").agg(first).select(F.col(f"first.{row}").alias(row)), "stay")
+    gone = scratch.write(found.join(stay, row, "left_anti").select(row), "gone")
+    scratch.drop("components", "stay")
+    return _without(keyed, row, gone)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -365,6 +365,20 @@ def test_html(spark):
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
+def test_pipeline_judges_rows_that_share_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    draw = random.Random(8)
+    plain = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8))) for _ in range(n))
+    good = [plain(120) for _ in range(60)]
+    rows = [(k + 10, t) for k, t in enumerate(good)] + [(7, good[0]), (7, good[0]), (7, "too short"), (None, good[1]), (None, plain(120)), (None, "short too"), (12, good[3])]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, t in rows], "doc_id long, text string, lang string, source string")
+    kept = corpus_pipeline.quality_stage(spark, docs, "")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str(r) for r in rows if "short" not in r[1])
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, kept, "").collect())
+    assert left == Counter([(7, good[0]), (None, rows[64][1]), (12, good[2]), (12, good[3]), *((k + 10, t) for k, t in enumerate(good) if k not in (0, 2, 3))])
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
