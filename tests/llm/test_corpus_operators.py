@@ -360,8 +360,6 @@ def test_html(spark):
     pages = spark.createDataFrame([(k, "u", h, "t") for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_text(pages).collect()}
     assert got == {k: (t, len(t)) for k, (_, t) in enumerate(PAGES)}
-    rows = html_text.labelled_rows()
-    assert all(html_text.is_main(x) == bool(y) for x, y in rows)
     assert html_text.extract_text(pages.where("false")).count() == 0
 
 
