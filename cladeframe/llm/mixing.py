@@ -11,8 +11,8 @@ from cladeframe.llm._common import NOT_SPACE, Scratch
 BLOCK, SLOTS, MOST = 64, 4096, 3
 #: Documents of a run: a source is dealt by hash to enough runs that each run is a small sort, and the runs follow each other.
 RUN_DOCS = 4096
-#: Slots that one row of the draw unfolds to.
-CHUNK = 1 << 14
+#: Numbers of draws that meet the ranges of the sources by one key.
+CHUNK = 1 << 10
 WEIGHTS = (1, 2, 3)
 _KEYS = tuple(range(1, 13))
 
@@ -80,22 +80,57 @@ def _packed(documents: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return packed, sources
 
 
-def _slots(sources: DataFrame) -> DataFrame:
+def _owners(ranges: DataFrame, first: str, n: str) -> DataFrame:
+    """Rows with a range first .. first + n - 1 of numbers, once for each chunk of numbers that it reaches into, to be found by an equi-join."""
+    some = ranges.where(f"{n} > 0")
+    return some.withColumn("chunk", F.explode(F.sequence(F.floor(F.col(first) / CHUNK), F.floor((F.col(first) + F.col(n) - 1) / CHUNK))))
+
+
+def _slots(sources: DataFrame, scratch: Scratch) -> DataFrame:
     """shard, slot, sk, block: every slot of every output shard with the block that it takes.
 
-    The draws of all sources, each as many as its target has blocks, are dealt to the slots of the shards by one
-    permutation. The counts of a shard are so a multinomial draw under the condition that the totals meet the
-    targets. The i-th draw of a source maps through the permutation of its (i div blocks)-th pass over its blocks.
+    1. Each slot draws a source by itself, in proportion to the draws that the targets need, so the counts of a
+       shard are a multinomial draw. A source's draws are numbered over the shards by counts of shards, summed in
+       two levels.
+    2. The totals are then brought to the targets: of a source drawn too often, a pseudorandom part of the draws goes
+       to the sources drawn too seldom, one by one, in the order of their numbers.
+    3. The i-th draw of a source maps through the permutation of its (i div blocks)-th pass over its blocks.
     """
-    last = F.col("first_draw") + F.col("draws") - 1
-    some = sources.where("draws > 0").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("first_draw") / CHUNK), F.floor(last / CHUNK))))
+    spark = sources.sparkSession
+    total = sources.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
+    shards = -(-total // SLOTS)
     # A fixed number of partitions: a few rows unfold to all slots, so Spark must not coalesce them by their size.
-    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = some.repartition(tasks, "chunk", "sk").withColumn("draw", F.explode(F.sequence(F.greatest("first_draw", F.col("chunk") * CHUNK), F.least(last, F.col("chunk") * CHUNK + CHUNK - 1))))
-    nth = F.col("draw") - F.col("first_draw")
-    placed = some.select("sk", "blocks", nth.alias("nth"), permuted(F.col("draw"), F.col("all_draws"), F.lit("slot")).alias("place"))
+    tasks = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards))
+    slots = spark.range(0, shards, 1, tasks).withColumnRenamed("id", "shard").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    slots = slots.where(F.col("shard") * SLOTS + F.col("slot") < total).withColumn("ticket", F.pmod(F.xxhash64("shard", "slot", F.lit("draw")), F.lit(max(1, total)).cast("long")))
+    owners = _owners(sources.select("sk", "first_draw", "draws"), "first_draw", "draws")
+    drawn = slots.withColumn("chunk", F.floor(F.col("ticket") / CHUNK)).join(owners, "chunk").where("ticket >= first_draw and ticket < first_draw + draws")
+    drawn = scratch.write(drawn.select("shard", "slot", "sk"), "drawn")
+
+    counts = drawn.groupBy("shard", "sk").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("shard") / RUN_DOCS))
+    counts = scratch.write(counts, "counts")
+    upto = lambda *keys: Window.partitionBy(*keys)
+    earlier = lambda w, by: F.coalesce(F.sum("n").over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = counts.groupBy("sk", "run").agg(F.sum("n").alias("n")).withColumn("run_from", earlier(upto("sk"), "run"))
+    begins = counts.withColumn("shard_from", earlier(upto("sk", "run"), "shard")).join(runs.select("sk", "run", "run_from"), ["sk", "run"])
+    begins = scratch.write(begins.select("shard", "sk", (F.col("run_from") + F.col("shard_from")).alias("begin")), "begins")
+    had = counts.groupBy("sk").agg(F.sum("n").alias("had"))
+    known = sources.select("sk", "blocks", "draws").join(had, "sk", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    known = known.withColumns({"over": F.greatest(F.col("had") - F.col("draws"), F.lit(0)), "under": F.greatest(F.col("draws") - F.col("had"), F.lit(0))})
+    ahead = lambda c: F.coalesce(F.sum(c).over(Window.partitionBy(F.lit(0)).orderBy("sk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = scratch.write(known.withColumns({"first_over": ahead("over"), "first_under": ahead("under")}), "known")
+
+    place = F.row_number().over(Window.partitionBy("shard", "sk").orderBy("slot")) - 1
+    numbered = drawn.withColumn("place", place).join(begins, ["shard", "sk"]).join(known, "sk")
+    numbered = numbered.withColumn("nth", permuted(F.col("begin") + F.col("place"), F.col("had"), F.col("sk"), F.lit("deal")))
+    numbered = scratch.write(numbered.select("shard", "slot", "sk", "blocks", "nth", F.when(F.col("nth") >= F.col("draws"), F.col("first_over") + F.col("nth") - F.col("draws")).alias("moved")), "numbered")
+    stay = numbered.where("moved is null").select("shard", "slot", "sk", "blocks", "nth")
+    takers = _owners(known.select("sk", "blocks", "had", "first_under", "under"), "first_under", "under")
+    gone = numbered.where("moved is not null").select("shard", "slot", "moved", F.floor(F.col("moved") / CHUNK).alias("chunk"))
+    gone = gone.join(takers, "chunk").where("moved >= first_under and moved < first_under + under")
+    dealt = stay.union(gone.select("shard", "slot", "sk", "blocks", (F.col("had") + F.col("moved") - F.col("first_under")).alias("nth")))
     block = permuted(F.pmod("nth", F.col("blocks")), F.col("blocks"), F.col("sk"), F.floor(F.col("nth") / F.col("blocks")))
-    return placed.select(F.floor(F.col("place") / SLOTS).alias("shard"), F.pmod("place", F.lit(SLOTS)).alias("slot"), "sk", block.alias("block"))
+    return dealt.select("shard", "slot", "sk", block.alias("block"))
 
 
 def _pieces(packed: DataFrame) -> DataFrame:
@@ -111,8 +146,9 @@ def mixture(documents: DataFrame) -> DataFrame:
 
     See mix() for the rules. Joining the pieces to documents on doc_id and cutting the words gives the texts.
     """
-    packed, sources = _packed(documents, Scratch(documents.sparkSession, "mixture"))
-    out = _slots(sources).join(_pieces(packed), ["sk", "block"])
+    scratch = Scratch(documents.sparkSession, "mixture")
+    packed, sources = _packed(documents, scratch)
+    out = _slots(sources, scratch).join(_pieces(packed), ["sk", "block"])
     return out.select("shard", "slot", F.expr("if(sk = 'n', null, substring(sk, 2))").alias("source"), "block", "doc_id", "first_word", "words")
 
 
@@ -120,8 +156,9 @@ def mix(documents: DataFrame) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, taken.
 
     Needs doc_id, text and source; other columns are ignored. The words of a source form one stream, documents in a
-    pseudorandom order that follows from their ids, cut into blocks of BLOCK words. Each source gets as many slots
-    as its target has blocks, and no block is used more than MOST times, so no document exceeds MOST times its size.
+    pseudorandom order that follows from their ids, cut into blocks of BLOCK words. The counts of the sources in each
+    output shard are a multinomial draw, then adjusted so that each source gets as many slots as its target has
+    blocks, and no block is used more than MOST times, so no document exceeds MOST times its size.
     Offsets come from running sums in two levels (within runs of some thousand documents, then over the runs), so a
     source with a third of all rows is no single task; slots and pieces meet on (source, block), which no hot key
     can fill. Reruns agree: nothing depends on partitions or order. A null text has size 0 and is taken 0 times; a
@@ -129,9 +166,9 @@ def mix(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "mix")
     packed, sources = _packed(documents, scratch)
-    uses = scratch.write(_slots(sources).groupBy("sk", "block").agg(F.count("*").alias("uses")), "uses")
+    uses = scratch.write(_slots(sources, scratch).groupBy("sk", "block").agg(F.count("*").alias("uses")), "uses")
     taken = _pieces(packed).join(uses, ["sk", "block"]).groupBy("sk", "run", "nth").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     taken = scratch.write(taken, "taken")
-    scratch.drop("uses")
+    scratch.drop("uses", "drawn", "counts", "begins", "known", "numbered")
     out = packed.join(taken, ["sk", "run", "nth"], "left").join(sources.select("sk", "source_size", "target"), "sk")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))

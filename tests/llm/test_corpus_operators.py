@@ -305,6 +305,26 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_shards_are_multinomial_draws_and_totals_meet_the_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    words = {"a": 4000, "b": 9000, "c": 30000}
+    rows = [(k * 10 + n, " ".join(["w"] * (size // 10)), s) for k, (s, size) in enumerate(words.items()) for n in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixture(docs).select("shard", "slot", "source", "block").distinct().collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(got)  # one block a slot
+    targets = {r.sk[1:]: r.draws for r in mixing._packed(docs, Scratch(spark, "t"))[1].collect()}
+    assert Counter(r.source for r in got) == targets
+    shards = Counter(r.shard for r in got)
+    total, full = sum(targets.values()), [k for k, n in shards.items() if n == 64]
+    assert len(full) >= 9
+    for s, n in targets.items():  # the counts of a source scatter over the shards as binomial ones do
+        p, each = n / total, [sum(r.source == s for r in got if r.shard == k) for k in full]
+        mean = sum(each) / len(each)
+        spread = sum((x - mean) ** 2 for x in each) / (len(each) - 1)
+        assert abs(mean - 64 * p) < 8 and 0.2 < spread / (64 * p * (1 - p)) < 3.5, s
+    assert max(Counter((r.source, r.block) for r in got).values()) <= mixing.MOST
+
+
 def test_permutations(spark):
     for n in (1, 2, 7, 64, 1000):
         got = {r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit("k"))).collect()}
