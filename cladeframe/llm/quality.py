@@ -12,13 +12,13 @@ from cladeframe.llm._common import NOT_SPACE, SPACE, Scratch
 #: Rates that the ellipsoid is fitted to, after their transforms; the first is the length, given which the rest are judged.
 FEATURES = ("x_length", "x_word", "x_symbol", "x_line", "x_repeat")
 #: Variance added to each transformed rate, in its own units: what counts as noise where most documents are equal.
-#: One repeated line or phrase in a short text is noise; a few stray symbols are too.
-FLOOR = (0.05, 0.01, 0.0025, 0.09, 0.04)
-#: Share of a group that the determinant is minimised over, C-steps, and the squared distance beyond which a document goes:
-#: the 1 - 1e-6 quantile of chi-square with 4 degrees of freedom.
-SUPPORT, STEPS, CUT = 0.75, 4, 33.4
-#: Groups of fewer documents are fitted together, as one group.
-LEAST_GROUP = 50
+FLOOR = (0.05, 0.01, 0.0025, 0.02, 0.01)
+#: Starts of each group, C-steps that all starts take, C-steps of the best one, and the share that the determinant is minimised over.
+STARTS, FIRST_STEPS, LAST_STEPS, SUPPORT = 3, 2, 3, 0.75
+#: The squared distance beyond which a document goes: the 1 - 1e-6 quantile of chi-square with 4 degrees of freedom.
+CUT = 33.4
+#: Documents that the language (and for it, all documents) weigh in the fit of each group, whatever its size.
+PRIOR = 30.0
 #: Rows of a group that meet its fit in one task.
 SALT_ROWS = 2000
 _SPACES = " \t\n\x0b\f\r"
@@ -91,17 +91,33 @@ def _factor(m) -> dict[str, Column]:
     return out
 
 
-def _fit(rows: DataFrame) -> DataFrame:
-    """Mean, Cholesky factor and log determinant of the rows of each group, as partial sums."""
+def _fit(rows: DataFrame, groups: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Mean, Cholesky factor and log determinant of the rows of each group and start, from partial sums.
+
+    Each group takes PRIOR documents that are as its language's on average, and each language PRIOR that are as all
+    are: the same rule for every size, which fades as a group grows and gives even an empty group an ellipsoid.
+    """
+    p = range(len(FEATURES))
     x = [F.col(c) for c in FEATURES]
-    p = range(len(x))
-    sums = [F.avg(x[i]).alias(f"m_{i}") for i in p] + [F.avg(x[i] * x[j]).alias(f"s_{i}_{j}") for i in p for j in range(i + 1)]
-    fit = rows.groupBy("grp").agg(*sums)
-    fit = fit.select("grp", *(f"m_{i}" for i in p), *((F.col(f"s_{i}_{j}") - F.col(f"m_{i}") * F.col(f"m_{j}") + (FLOOR[i] if i == j else 0)).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)))
-    for name, value in _factor(lambda i, j: F.col(f"c_{i}_{j}")).items():
-        fit = fit.withColumn(name, value)
+    names = ["n", *(f"m_{i}" for i in p), *(f"s_{i}_{j}" for i in p for j in range(i + 1))]
+    sums = [F.count("*").cast("double").alias("n"), *(F.sum(x[i]).alias(f"m_{i}") for i in p), *(F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i in p for j in range(i + 1))]
+    own = groups.join(rows.groupBy("grp", "start").agg(*sums), ["grp", "start"], "left").fillna(0.0, names)
+    own = scratch.write(own, f"{name}-sums")  # a row a group and start
+
+    def with_prior(table: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+        mean = [(F.col(c) / F.greatest(F.col("n"), F.lit(1.0)) * PRIOR).alias(f"p_{c}") for c in names]
+        joined = table.join(above.select(*keys, *mean), keys)
+        return joined.select(*(c for c in table.columns if c not in names), *((F.col(c) + F.col(f"p_{c}")).alias(c) for c in names))
+
+    every = own.groupBy("start").agg(*(F.sum(c).alias(c) for c in names))
+    tongue = with_prior(own.groupBy("tongue", "start").agg(*(F.sum(c).alias(c) for c in names)), every, ["start"])
+    fit = with_prior(own, tongue, ["tongue", "start"])
+    n = F.greatest(F.col("n"), F.lit(1e-9))
+    fit = fit.select("grp", "start", *((F.col(f"m_{i}") / n).alias(f"m_{i}") for i in p), *((F.col(f"s_{i}_{j}") / n - F.col(f"m_{i}") * F.col(f"m_{j}") / n / n + (FLOOR[i] if i == j else 0)).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)))
+    for column, value in _factor(lambda i, j: F.col(f"c_{i}_{j}")).items():
+        fit = fit.withColumn(column, value)
     det = reduce(lambda a, b: a + b, (F.log(F.col(f"l_{i}_{i}")) for i in p))
-    return fit.select("grp", det.alias("log_det"), *(f"m_{i}" for i in p), *(f"l_{i}_{j}" for i in p for j in range(i + 1)))
+    return fit.select("grp", "start", det.alias("log_det"), *(f"m_{i}" for i in p), *(f"l_{i}_{j}" for i in p for j in range(i + 1)))
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -120,48 +136,75 @@ def quality_rules(documents: DataFrame) -> DataFrame:
     n_symbols, n_dup_lines, n_repeat_words, distance, base_failed and kept. A document fails the base rule with
     fewer than 50 words or with more than half of its words repeated.
 
-    The minimum-covariance-determinant estimate of a group starts from the documents nearest to its median and
-    takes STEPS concentration steps: fit mean and covariance, keep the SUPPORT share of smallest distance, fit
-    again; the determinant never grows. A covariance floor keeps it regular where a rate is constant. Documents
-    that the base rule rejects take no part. What is judged is the distance of the rates given the length, so a
-    text isn't rejected for its length alone. Every step is a grouped sum with map-side partial sums over a small
-    table of statistics, and large groups are salted, so a source with a third of all rows is no single task. Groups of fewer than
-    LEAST_GROUP documents, null languages and null sources are fitted together. A null text has no words and fails.
+    The minimum-covariance-determinant estimate of a group goes through concentration steps: fit mean and
+    covariance, keep the SUPPORT share of smallest distance, fit again; the determinant doesn't grow. STARTS begin
+    differently (nearest to the median by the floors, nearest by robust spreads, and a half by hash), take
+    FIRST_STEPS, and the one of the least determinant goes on. A covariance floor keeps it regular where a rate is
+    constant. Documents that the base rule rejects take no part. The statistics vector that is judged are the four
+    rates, cleared of what their regression on the log of the length explains, as long texts repeat more by nature;
+    its squared Mahalanobis distance under the ellipsoid is distance, and beyond CUT a document goes. A text is so
+    never rejected for its length alone.
+
+    Every step is a grouped sum with map-side partial sums over a small table of statistics, and large groups are
+    salted, so a source with a third of all rows is no single task. A null language or source is a value like
+    others; small groups lean on their language by PRIOR documents, as all groups do. A null text has no words and
+    fails; repeated rows count as often as they stand, and each has its verdict.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "quality")
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    stats = scratch.write(_transformed(statistics(documents)).withColumn("base_failed", failed), "stats")
-    key = F.struct("lang", "source")
-    large = stats.where(~F.col("base_failed") & F.col("lang").isNotNull() & F.col("source").isNotNull()).groupBy("lang", "source").agg(F.count("*").alias("c")).where(F.col("c") >= LEAST_GROUP)
-    large = scratch.write(large.select("lang", "source", F.to_json(key).alias("grp")), "groups")
-    rows = stats.join(large, ["lang", "source"], "left").withColumn("grp", F.coalesce("grp", F.lit("")))
-    rows = scratch.write(rows, "grouped")
+    key = F.to_json(F.struct("lang", "source"))
+    stats = scratch.write(_transformed(statistics(documents)).withColumns({"base_failed": failed, "grp": key, "tongue": F.coalesce(F.concat(F.lit("s"), "lang"), F.lit("n"))}), "stats")
     # A group is dealt over salts by its size, and what is known of it is copied to each salt, so that the rows of a
     # hot group meet its fit in many tasks and leave as partial sums.
     salts = F.ceil(F.count("*") / F.lit(SALT_ROWS)).cast("int")
-    shares = scratch.write(rows.groupBy("grp").agg(salts.alias("salts")), "shares")
-    rows = rows.join(shares, "grp").withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.col("salts")).cast("int")).drop("salts")
+    shares = scratch.write(stats.groupBy("grp", "tongue").agg(salts.alias("salts")), "shares")
+    rows = stats.drop("lang", "source", "tongue").join(shares.drop("tongue"), "grp").withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.col("salts")).cast("int")).drop("salts")
     rows = scratch.write(rows, "rows")
     good = rows.where(~F.col("base_failed"))
+    starts = F.explode(F.array(*(F.lit(k) for k in range(STARTS))))
+    groups = scratch.write(shares.select("grp", "tongue", starts.alias("start")), "starts")
+    used = ["stats", "shares", "starts"]
+
+    def salted(table: DataFrame) -> DataFrame:
+        return table.join(shares.select("grp", "salts"), "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def known(table: DataFrame, name: str) -> DataFrame:
-        return scratch.write(table.join(shares, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"), name)
-
-    middle = known(good.groupBy("grp").agg(*(F.percentile_approx(c, 0.5, 1000).alias(f"q_{c}") for c in FEATURES)), "middle")
-    far = reduce(lambda a, b: a + b, (F.pow(F.col(c) - F.col(f"q_{c}"), F.lit(2.0)) / F.lit(FLOOR[i]) for i, c in enumerate(FEATURES)))
-    at = ["grp", "salt"]
-    measured = good.join(middle, at).withColumn("d2", far)
-    fit = None
-    for step in range(STEPS + 1):
-        limits = known(measured.groupBy("grp").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("limit")), f"limit-{step}")
-        inner = measured.join(limits, at).where(F.col("d2") <= F.col("limit"))
-        fit = known(_fit(inner), f"fit-{step}")
-        measured = _distance(good.join(fit, at))
-    # Consistency at the normal model: the median of the distances of the kept part is set to chi-square's.
-    spread = known(measured.groupBy("grp").agg((F.percentile_approx("d2_given", 0.5, 1000) / F.lit(3.357)).alias("scale")), "scale")
-    fit = scratch.write(fit.join(spread, at), "fit")
-    judged = _distance(rows.join(fit, at, "left")).withColumn("distance", F.col("d2_given") / F.greatest("scale", F.lit(1.0)))
-    scratch.drop("stats", "groups", "grouped", "shares", "middle", "scale", *(f"limit-{k}" for k in range(STEPS + 1)), *(f"fit-{k}" for k in range(STEPS + 1)))
+        used.append(name)
+        return scratch.write(salted(table), name)
+
+    def nearest(measured: DataFrame) -> DataFrame:
+        limits = salted(measured.groupBy("grp", "start").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("limit")))
+        return measured.join(limits, ["grp", "start", "salt"]).where(F.col("d2") <= F.col("limit"))
+
+    def step(measured: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        fit = known(_fit(nearest(measured), of, scratch, name), name)
+        used.append(f"{name}-sums")
+        return fit
+
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    middle = known(good.groupBy("grp").agg(*(F.percentile_approx(c, quarters, 1000).alias(f"q_{c}") for c in FEATURES)), "middle")
+    off = lambda i, c, scale: F.pow(F.col(c) - F.get(f"q_{c}", F.lit(1)), F.lit(2.0)) / scale(i, c)
+    spread = lambda i, c: F.pow((F.get(f"q_{c}", F.lit(2)) - F.get(f"q_{c}", F.lit(0))) / F.lit(1.349), F.lit(2.0)) + F.lit(FLOOR[i])
+    total = lambda scale: reduce(lambda a, b: a + b, (off(i, c, scale) for i, c in enumerate(FEATURES)))
+    draw = F.pmod(F.xxhash64("doc_id", "word_chars", F.lit("start")), F.lit(1 << 20)).cast("double")
+    begun = good.join(middle, ["grp", "salt"]).withColumn("start", starts)
+    begun = begun.withColumn("d2", F.when(F.col("start") == 0, total(lambda i, c: F.lit(FLOOR[i]))).when(F.col("start") == 1, total(spread)).otherwise(draw)).drop(*(f"q_{c}" for c in FEATURES))
+    fit = step(begun, groups, "fit-0")
+    for k in range(FIRST_STEPS):
+        fit = step(_distance(good.join(fit, ["grp", "salt"])), groups, f"fit-{k + 1}")
+    best = scratch.write(fit.where("salt = 0").groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("b")).select("grp", F.col("b.start").alias("start")), "best")
+    used.append("best")
+    chosen = scratch.write(groups.join(best, ["grp", "start"]).select("grp", "tongue", F.lit(0).alias("start")), "chosen")
+    used.append("chosen")
+    fit = fit.join(best, ["grp", "start"]).withColumn("start", F.lit(0))
+    for k in range(LAST_STEPS):
+        fit = step(_distance(good.join(fit, ["grp", "salt"])), chosen, f"last-{k}")
+    # Consistency at the normal model: the median distance of the good documents is set to chi-square's.
+    measured = _distance(good.join(fit, ["grp", "salt"]))
+    scale = known(measured.groupBy("grp").agg((F.percentile_approx("d2_given", 0.5, 1000) / F.lit(3.357)).alias("scale")), "scale")
+    fit = scratch.write(fit.join(scale, ["grp", "salt"], "left"), "fit")
+    judged = _distance(rows.join(fit, ["grp", "salt"], "left")).withColumn("distance", F.col("d2_given") / F.greatest(F.coalesce("scale", F.lit(1.0)), F.lit(1.0)))
+    scratch.drop(*used)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distance", "base_failed", kept.alias("kept"))
