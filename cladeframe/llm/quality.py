@@ -81,13 +81,19 @@ def _transformed(stats: DataFrame) -> DataFrame:
     )
 
 
-def _factor(m) -> dict[str, Column]:
-    """Names and expressions of the Cholesky factor of the covariance columns, row by row."""
-    p, out = len(FEATURES), {}
-    for i in range(p):
-        for j in range(i + 1):
-            inner = reduce(lambda a, k: a - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), m(i, j))
-            out[f"l_{i}_{j}"] = F.sqrt(F.greatest(inner, F.lit(FLOOR[i] / 100))) if i == j else inner / F.col(f"l_{j}_{j}")
+_P = range(len(FEATURES))
+_LOWER = [(i, j) for i in _P for j in range(i + 1)]
+#: Sums that a fit is made of: documents, first moments and second moments.
+_SUMS = ["n", *(f"m_{i}" for i in _P), *(f"s_{i}_{j}" for i, j in _LOWER)]
+_FIT = [*(f"m_{i}" for i in _P), *(f"l_{i}_{j}" for i, j in _LOWER)]
+
+
+def _factor() -> list[str]:
+    """The Cholesky factor of the covariance columns c_i_j, row by row, each entry from the ones before it in the same list."""
+    out = []
+    for i, j in _LOWER:
+        inner = f"c_{i}_{j}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+        out.append(f"sqrt(greatest({inner}, {FLOOR[i] / 100}D)) AS l_{i}_{i}" if i == j else f"({inner}) / l_{j}_{j} AS l_{i}_{j}")
     return out
 
 
@@ -97,36 +103,27 @@ def _fit(rows: DataFrame, groups: DataFrame, scratch: Scratch, name: str) -> Dat
     Each group takes PRIOR documents that are as its language's on average, and each language PRIOR that are as all
     are: the same rule for every size, which fades as a group grows and gives even an empty group an ellipsoid.
     """
-    p = range(len(FEATURES))
-    x = [F.col(c) for c in FEATURES]
-    names = ["n", *(f"m_{i}" for i in p), *(f"s_{i}_{j}" for i in p for j in range(i + 1))]
-    sums = [F.count("*").cast("double").alias("n"), *(F.sum(x[i]).alias(f"m_{i}") for i in p), *(F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i in p for j in range(i + 1))]
-    own = groups.join(rows.groupBy("grp", "start").agg(*sums), ["grp", "start"], "left").fillna(0.0, names)
+    sums = ["cast(count(*) AS double) AS n", *(f"sum({FEATURES[i]}) AS m_{i}" for i in _P), *(f"sum({FEATURES[i]} * {FEATURES[j]}) AS s_{i}_{j}" for i, j in _LOWER)]
+    own = groups.join(rows.groupBy("grp", "start").agg(*map(F.expr, sums)), ["grp", "start"], "left").fillna(0.0, _SUMS)
     own = scratch.write(own, f"{name}-sums")  # a row a group and start
 
     def with_prior(table: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
-        mean = [(F.col(c) / F.greatest(F.col("n"), F.lit(1.0)) * PRIOR).alias(f"p_{c}") for c in names]
-        joined = table.join(above.select(*keys, *mean), keys)
-        return joined.select(*(c for c in table.columns if c not in names), *((F.col(c) + F.col(f"p_{c}")).alias(c) for c in names))
+        mean = [f"{c} / greatest(n, 1D) * {PRIOR}D AS p_{c}" for c in _SUMS]
+        return table.join(above.selectExpr(*keys, *mean), keys).selectExpr(*(c for c in table.columns if c not in _SUMS), *(f"{c} + p_{c} AS {c}" for c in _SUMS))
 
-    every = own.groupBy("start").agg(*(F.sum(c).alias(c) for c in names))
-    tongue = with_prior(own.groupBy("tongue", "start").agg(*(F.sum(c).alias(c) for c in names)), every, ["start"])
-    fit = with_prior(own, tongue, ["tongue", "start"])
-    n = F.greatest(F.col("n"), F.lit(1e-9))
-    fit = fit.select("grp", "start", *((F.col(f"m_{i}") / n).alias(f"m_{i}") for i in p), *((F.col(f"s_{i}_{j}") / n - F.col(f"m_{i}") * F.col(f"m_{j}") / n / n + (FLOOR[i] if i == j else 0)).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)))
-    for column, value in _factor(lambda i, j: F.col(f"c_{i}_{j}")).items():
-        fit = fit.withColumn(column, value)
-    det = reduce(lambda a, b: a + b, (F.log(F.col(f"l_{i}_{i}")) for i in p))
-    return fit.select("grp", "start", det.alias("log_det"), *(f"m_{i}" for i in p), *(f"l_{i}_{j}" for i in p for j in range(i + 1)))
+    total = [F.expr(f"sum({c}) AS {c}") for c in _SUMS]
+    tongue = with_prior(own.groupBy("tongue", "start").agg(*total), own.groupBy("start").agg(*total), ["start"])
+    fit = with_prior(own, tongue, ["tongue", "start"]).selectExpr("grp", "start", "greatest(n, 1e-9D) AS n", *_SUMS[1:])
+    fit = fit.selectExpr("grp", "start", *(f"m_{i} / n AS m_{i}" for i in _P), *(f"s_{i}_{j} / n - m_{i} / n * (m_{j} / n)" + (f" + {FLOOR[i]}D" if i == j else "") + f" AS c_{i}_{j}" for i, j in _LOWER))
+    det = " + ".join(f"ln(l_{i}_{i})" for i in _P)
+    return fit.selectExpr("*", *_factor()).selectExpr("grp", "start", f"{det} AS log_det", *_FIT)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, and d2_given, the same of the rates given the length."""
-    for i, name in enumerate(FEATURES):
-        z = reduce(lambda a, j: a - F.col(f"l_{i}_{j}") * F.col(f"z_{j}"), range(i), F.col(name) - F.col(f"m_{i}"))
-        rows = rows.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-    total = lambda at: reduce(lambda a, b: a + b, (F.pow(F.col(f"z_{i}"), F.lit(2.0)) for i in range(at, len(FEATURES))))
-    return rows.withColumn("d2", total(0)).withColumn("d2_given", total(1))
+    z = [f"({name} - m_{i}" + "".join(f" - l_{i}_{j} * z_{j}" for j in range(i)) + f") / l_{i}_{i} AS z_{i}" for i, name in enumerate(FEATURES)]
+    total = lambda at: " + ".join(f"z_{i} * z_{i}" for i in range(at, len(FEATURES)))
+    return rows.selectExpr("*", *z).selectExpr("*", f"{total(0)} AS d2", f"{total(1)} AS d2_given").drop(*_FIT, *(f"z_{i}" for i in _P))
 
 
 def quality_rules(documents: DataFrame) -> DataFrame:
