@@ -17,8 +17,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD_WORDS = 1 << 17
 #: Words that a counting task holds before it hands them on.
 FLUSH = 1 << 18
-#: Weight of the existing scores, in pieces, against the pieces counted in training words.
-PRIOR = 3200.0
+#: Weight of the existing scores against the shares counted in training words, whatever the corpus' size.
+EXISTING = 0.1
 _START = "▁"
 
 
@@ -59,22 +59,36 @@ class Lattice:
                 alpha[to] = x if y == -math.inf else x + log1p(exp(y - x)) if x >= y else y + log1p(exp(x - y))
         return alpha[-1]
 
-    def best(self, word: str) -> list[str | bytes]:
-        """The likeliest segmentation; bytes for characters that are no piece."""
+    def expected(self, word: str) -> dict[str | bytes, float]:
+        """How often each piece occurs in a segmentation of the word, over all of them by their probability; bytes for characters that are no piece."""
         s = _START + word
-        top, back = [-math.inf] * (len(s) + 1), [0] * (len(s) + 1)
-        top[0] = 0.0
-        for at in range(len(s)):
-            have = top[at]
-            for to, p in self._edges(s, at):
-                if have + p > top[to]:
-                    top[to], back[to] = have + p, at
-        out, to = [], len(s)
-        while to:
-            piece = s[back[to] : to]
-            out.append(piece if self.pieces.get(piece) is not None else piece.encode("utf-8", "surrogatepass"))
-            to = back[to]
-        return out[::-1]
+        n = len(s)
+        alpha, beta = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+        alpha[0] = beta[n] = 0.0
+        edges = [list(self._edges(s, at)) for at in range(n)]
+        exp, log1p = math.exp, math.log1p
+        for at in range(n):
+            have = alpha[at]
+            for to, p in edges[at]:
+                x, y = have + p, alpha[to]
+                alpha[to] = x if y == -math.inf else x + log1p(exp(y - x)) if x >= y else y + log1p(exp(x - y))
+        for at in range(n - 1, -1, -1):
+            y = -math.inf
+            for to, p in edges[at]:
+                x = p + beta[to]
+                y = x if y == -math.inf else x + log1p(exp(y - x)) if x >= y else y + log1p(exp(x - y))
+            beta[at] = y
+        out: dict[str | bytes, float] = {}
+        total = alpha[n]
+        for at in range(n):
+            have = alpha[at] - total
+            for to, p in edges[at]:
+                w = exp(have + p + beta[to])
+                if w > 1e-9:
+                    piece = s[at:to]
+                    key = piece if to > at + 1 or self.pieces.get(piece) is not None else piece.encode("utf-8", "surrogatepass")
+                    out[key] = out.get(key, 0.0) + w
+        return out
 
 
 def existing_scores(path: str = VOCABULARY) -> tuple[dict[str, float], list[float]]:
@@ -121,18 +135,15 @@ def _count(batches):
 
 def _segment(lattice):
     def run(batches):
-        pieces: Counter = Counter()
+        pieces: dict[tuple[str, bool], float] = {}
         for batch in batches:
             model = lattice.value
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for piece in model.best(word):
-                    if isinstance(piece, bytes):
-                        for b in piece:
-                            pieces[f"<{b}>", True] += c
-                    else:
-                        pieces[piece, False] += c
+                for piece, w in model.expected(word).items():
+                    for key in [(f"<{b}>", True) for b in piece] if isinstance(piece, bytes) else [(piece, False)]:
+                        pieces[key] = pieces.get(key, 0.0) + c * w
         keys = list(pieces)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.bool_()), pa.array([pieces[k] for k in keys], pa.int64())], names=["piece", "is_byte", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.bool_()), pa.array([pieces[k] for k in keys], pa.float64())], names=["piece", "is_byte", "c"])
 
     return run
 
@@ -191,9 +202,9 @@ def lattice_scores(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
 
     score is the log10 probability of the text under a unigram model over the pieces of an existing vocabulary,
     summed over all its segmentations: no piece spans a space, so a text factors into its words, each summed by
-    log-space forward recursion, and an end. The piece probabilities start from the scores that the vocabulary has;
-    one counting pass over the best segmentations of all training words, with their counts over the whole corpus,
-    then updates them with PRIOR pieces of weight left to the old ones.
+    log-space forward recursion, and an end. The existing scores weight all segmentations of the training words in one
+    counting pass over the whole corpus, each piece by how often it is expected; the counted shares and the existing
+    ones, with a weight of EXISTING, make the piece probabilities.
 
     Counts are of all documents. Each distinct word is segmented once, in a table of words; documents meet that
     table by a join on the word. The most frequent words, HEAD_WORDS at most, are broadcast instead, so no key of
@@ -212,13 +223,15 @@ def lattice_scores(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
 
     prior, data = existing_scores(vocabulary)
     first = context.broadcast(Lattice({k: math.log(p) for k, p in prior.items()}, [math.log(p) for p in data]))
-    counted = words.where("c > 0").mapInArrow(in_slices(_segment(first)), "piece string, is_byte boolean, c long").groupBy("piece", "is_byte").agg(F.sum("c").alias("c")).collect()
+    counted = words.where("c > 0").mapInArrow(in_slices(_segment(first)), "piece string, is_byte boolean, c double").groupBy("piece", "is_byte").agg(F.sum("c").alias("c")).collect()
     c_piece = {r["piece"]: r["c"] for r in counted if not r["is_byte"]}
     c_byte = {int(r["piece"][1:-1]): r["c"] for r in counted if r["is_byte"]}
-    mass = sum(c_piece.values()) + sum(c_byte.values()) + PRIOR + ends + 1
-    model = context.broadcast(
-        Lattice({k: math.log((c_piece.get(k, 0) + PRIOR * p) / mass) for k, p in prior.items()}, [math.log((c_byte.get(b, 0) + PRIOR * p) / mass) for b, p in enumerate(data)])
-    )
+    counts = sum(c_piece.values()) + sum(c_byte.values())
+    weight = EXISTING if counts else 1.0
+    share = lambda c, p: math.log((1 - weight) * (c / counts if counts else 0.0) + weight * p)
+    # The end is a token of its own beside the pieces: its share is that of the training documents' ends.
+    log_end, log_piece = math.log((ends + 1) / (counts + ends + 2)), math.log((counts + 1) / (counts + ends + 2))
+    model = context.broadcast(Lattice({k: log_piece + share(c_piece.get(k, 0), p) for k, p in prior.items()}, [log_piece + share(c_byte.get(b, 0), p) for b, p in enumerate(data)]))
     scored = scratch.write(words.mapInArrow(in_slices(_forward(model)), "word string, c long, lp double"), "scored")
     scratch.drop("words")
 
@@ -243,7 +256,7 @@ def lattice_scores(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
     sums = scratch.write(sums, "sums")
     nought = lambda c: F.coalesce(F.col(c), F.lit(0))
     end_base = math.log10((ends + 0.1) / bottom)
-    end_score = math.log10((ends + 1) / mass)
+    end_score = log_end / math.log(10)
     return (
         parts.drop("rest", "times").join(sums, "row", "left").select(
             "doc_id", "held_out",

@@ -342,7 +342,28 @@ def test_lattice_sums_all_segmentations():
 
     for word in ("a", "ab", "abab", "aéb", ""):
         assert math.isclose(math.exp(model.log_probability(word)), every("▁" + word), rel_tol=1e-9)
-        assert b"".join(p if isinstance(p, bytes) else p.encode() for p in model.best(word)).decode() == "▁" + word
+
+
+def test_expected_pieces_are_those_of_all_segmentations():
+    model = lm_score.Lattice({p: math.log(0.1 * (k + 1)) for k, p in enumerate(("▁", "▁a", "a", "ab", "b"))}, [math.log(1e-4)] * 256)
+
+    def every(s):
+        """(probability, pieces) of each segmentation."""
+        if not s:
+            return [(1.0, [])]
+        out = [(math.exp(lp) * q, [p, *rest]) for p, lp in model.pieces.items() if lp is not None and s.startswith(p) for q, rest in every(s[len(p) :])]
+        if model.pieces.get(s[0]) is None:
+            out += [(1e-4 ** len(s[0].encode()) * q, [s[0].encode(), *rest]) for q, rest in every(s[1:])]
+        return out
+
+    for word in ("a", "ab", "abab", "aéb", ""):
+        want, total = Counter(), 0.0
+        for q, pieces in every("▁" + word):
+            total += q
+            for p in pieces:
+                want[p] += q
+        got = model.expected(word)
+        assert set(got) == set(want) and all(math.isclose(got[p], want[p] / total, rel_tol=1e-9) for p in want), word
 
 
 def test_lm_scores(docs, texts, empty, monkeypatch):
@@ -365,6 +386,20 @@ def test_lm_scores(docs, texts, empty, monkeypatch):
         w = cut(dict(ids)[r.doc_id])
         base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w) + math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, n) and math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+    # The score of a text is the sum over its words of all their segmentations, by a plain version of the same model.
+    prior, data = lm_score.existing_scores()
+    first = lm_score.Lattice({k: math.log(p) for k, p in prior.items()}, [math.log(p) for p in data])
+    pieces, bits = Counter(), Counter()
+    for w, times in c.items():
+        for piece, x in first.expected(w).items():
+            for key in piece if isinstance(piece, bytes) else [piece]:
+                (bits if isinstance(piece, bytes) else pieces)[key] += times * x
+    counts = sum(pieces.values()) + sum(bits.values())
+    share = lambda n, p: math.log((counts + 1) / (counts + ends + 2) * (0.9 * n / counts + 0.1 * p))
+    second = lm_score.Lattice({k: share(pieces[k], p) for k, p in prior.items()}, [share(bits[b], p) for b, p in enumerate(data)])
+    for r in rows[:25]:
+        want = sum(second.log_probability(w) for w in cut(dict(ids)[r.doc_id])) + math.log((ends + 1) / (counts + ends + 2))
+        assert math.isclose(r.score, want / math.log(10), rel_tol=1e-6), r.doc_id
     assert lm_score.lattice_scores(empty).count() == 0
 
 
