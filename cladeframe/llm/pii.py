@@ -39,14 +39,14 @@ PATTERN = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Z0-9])",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "person": rf"(?<![\p{{L}}-])(?:{GIVEN})\x20(?:\p{{Lu}}\.\x20)?{_SURNAME}(?![\p{{L}}])",
-    "address": rf"(?<![0-9\p{{L}}])(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:\p{{Lu}}\p{{Ll}}{{1,20}}\x20){{1,3}}(?:{STREETS})(?![\p{{L}}])|[0-9]{{1,4}},?\x20(?:{VIES})(?:\x20\p{{L}}{{1,20}}){{1,4}}|\p{{Lu}}\p{{Ll}}{{2,25}}(?:{STRASSEN})\x20[0-9]{{1,4}}[a-z]?(?![0-9\p{{L}}]))",
+    "person": rf"(?=\p{{Lu}}\p{{Ll}}{{1,15}}\x20\p{{Lu}})(?<![\p{{L}}-])(?:{GIVEN})\x20(?:\p{{Lu}}\.\x20)?{_SURNAME}(?![\p{{L}}])",
+    "address": rf"(?=[0-9\p{{Lu}}])(?<![0-9\p{{L}}])(?:[0-9]{{1,5}}[A-Za-z]?\x20(?:\p{{Lu}}\p{{Ll}}{{1,20}}\x20){{1,3}}(?:{STREETS})(?![\p{{L}}])|[0-9]{{1,4}},?\x20(?:{VIES})(?:\x20\p{{L}}{{1,20}}){{1,4}}|\p{{Lu}}\p{{Ll}}{{2,25}}(?:{STRASSEN})\x20[0-9]{{1,4}}[a-z]?(?![0-9\p{{L}}]))",
 }
 #: A cheap test that any text with a match passes.
 _HINT = {
-    "email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "spoken_email": r"(?i)[\[(\x20](?:at|dot)[\])\x20]",
+    "email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]", "spoken_email": r"[\[(\x20][dD][oO][tT][\])\x20]",
     "local_phone": r"[0-9]{3}[\x20.-][0-9]{4}", "ssn": r"-[0-9]{2}-", "iban": r"[A-Z]{2}[0-9]{2}", "ipv6": r":[0-9A-Fa-f]{1,4}:",
-    "person": rf"(?:{GIVEN})\x20\p{{Lu}}", "address": rf"(?:{STREETS})|[0-9],?\x20(?:{VIES})\x20|(?:{STRASSEN})\x20[0-9]",
+    "person": r"\p{Lu}\p{Ll}+\x20(?:\p{Lu}\.\x20)?\p{Lu}", "address": r"[0-9][A-Za-z]?,?\x20\p{L}|\p{L}\.?\x20[0-9]",
 }
 
 ENDINGS = "com|net|org|edu|gov|io|co|info|biz|de|fr|es|it|uk|us|eu|nl|ch|at|ca|au|jp|cn|in|br|ru|pl|se|no|dk|fi|be|pt|mx"
@@ -285,7 +285,7 @@ def personal_data(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     scratch = Scratch(spark, "personal-data")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = docs.select("doc_id", F.when(F.col("text").rlike(rf"[0-9@]|(?i:[\[(\x20]at[\])\x20])|{_HINT['person']}"), _spans(F.col("text"), KINDS)).alias("s"))
+    found = docs.select("doc_id", F.when(F.col("text").rlike(rf"[0-9@]|{_HINT['spoken_email']}|{_HINT['person']}"), _spans(F.col("text"), KINDS)).alias("s"))
     found = found.select("doc_id", F.filter("s", lambda x: x["kind"] < len(BASE)).alias("b"), F.filter("s", lambda x: x["kind"] >= len(BASE)).alias("x"))
     extra = F.when((F.size("x") > 0) & (F.size("b") > 0), _apart(F.col("b"), F.col("x"))).otherwise(F.col("x"))
     # The table is small: offsets and votes of the few spans, whatever the texts are.
