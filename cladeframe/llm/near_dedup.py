@@ -43,7 +43,7 @@ def minmax_bands(items: np.ndarray) -> np.ndarray:
         m = _A[:, None] * items[None, at : at + _CHUNK] + _B[:, None]
         np.minimum(low, m.min(axis=1), out=low)
         np.maximum(high, m.max(axis=1), out=high)
-    rows = np.stack([low, high], axis=1).reshape(BANDS, ROWS)
+    rows = np.concatenate([low, high]).reshape(BANDS, ROWS)  # all minima or all maxima, so that a band's permutations differ
     acc = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         acc = mix(acc * _FOLD + rows[:, k])
@@ -100,8 +100,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: int = 80)
     Needs doc_id and text, other columns are ignored. One row per input row: doc_id, n_shingles, component_id (the
     smallest doc_id reachable), kept (doc_id = component_id).
 
-    1. One pass sketches every whole text: 147 permutations give 147 minima and 147 maxima, folded into 42 bands of
-       7. A pair of similarity 0.8 shares no band with probability 5e-5.
+    1. One pass sketches every whole text: 147 permutations give 147 minima and 147 maxima, folded into 21 bands of
+       7 each. A band never holds minimum and maximum of one permutation, so sets of a few shingles fare as large
+       ones do: a pair of similarity 0.8 shares no band with probability 5e-5.
     2. Documents of equal sets collapse to one representative before anything is paired.
     3. Each bucket compares its members with its smallest one only; verified links give first components.
     4. In buckets that still hold several components, the members of different components are compared with each
