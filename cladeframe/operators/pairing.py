@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.functions.names import checked_pair_name, checked_record_name, flag_is, forward_sequence, is_primary, pair_suffix, with_record_suffix
+from cladeframe.functions.names import checked_pair_name, checked_record_name, flag_is, forward_sequence, is_primary, with_record_suffix
 
 
 #: Ordinals whose rows are walked by one task.
@@ -98,6 +98,3 @@ def zip_pairs(first: DataFrame, second: DataFrame, name_of: Column | None = None
 def single_reads(reads: DataFrame) -> DataFrame:
     return reads.select("ord", "name", F.col("seq").alias("r1"), F.lit(None).cast("string").alias("r2"))
 
-
-def has_second_suffix(name: Column) -> Column:
-    return pair_suffix(name) == 2

@@ -13,9 +13,14 @@ COLUMNS = (
 )
 
 
+def total_sequences(report: DataFrame) -> DataFrame:
+    """_total: all sequences, the clade counts of the unindented rows."""
+    return report.agg(F.coalesce(F.sum(F.when(F.col("indent") == 0, F.col("num_fragments_clade"))), F.lit(0)).alias("_total"))
+
+
 def flat_report(report: DataFrame) -> DataFrame:
     """One row an entry with ord: parents, counts, and shares of all sequences (the clade counts of the unindented rows)."""
-    total = report.agg(F.coalesce(F.sum(F.when(F.col("indent") == 0, F.col("num_fragments_clade"))), F.lit(0)).alias("_total"))
+    total = total_sequences(report)
     rows = nearest_parents(report).join(F.broadcast(total))  # one row
     below = F.greatest(F.col("num_fragments_clade") - F.col("num_fragments_direct"), F.lit(0))
     share = lambda x: F.when(F.col("_total") > 0, x / F.col("_total")).otherwise(F.lit(0.0))

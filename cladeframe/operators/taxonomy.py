@@ -17,7 +17,7 @@ def parse_report(lines: DataFrame, column: str = "value") -> DataFrame:
     part = F.split(F.col(column), "\t", -1)
     wide = F.size(part) == 8
     at = lambda narrow, broad: F.when(wide, F.get(part, F.lit(broad))).otherwise(F.get(part, F.lit(narrow)))
-    fail = lambda why: F.raise_error(F.concat(F.lit(f"{why}: "), F.col(column)))
+    fail = lambda why: F.raise_error(F.concat(F.lit("line "), (F.col("ord") + 1).cast("string"), F.lit(f": {why}: "), F.col(column)))
     number = lambda x, what: F.coalesce(F.trim(x).try_cast("long"), fail(f"invalid {what}"))
     name = at(5, 7)
     indent = F.length(F.regexp_extract(name, "^( *)", 1))
@@ -62,51 +62,69 @@ def tree(report: DataFrame) -> DataFrame:
 def nearest_parents(report: DataFrame) -> DataFrame:
     """Adds parent_id and parent_rank as flat reports have them: of the nearest row before of smaller indent; null for roots.
 
-    Levels are few; the parent of level k is the last row before of each smaller level, the latest of them.
+    A row stands for each deeper level as what may be a parent there; a row's parent is the last one before it.
     """
-    deepest = report.agg(F.max("indent")).first()[0] or 0
-    before = _all_rows().rowsBetween(Window.unboundedPreceding, -1)
+    rows = report.withColumn("_deepest", F.max("indent").over(Window.partitionBy(F.lit(0))))
     entry = F.struct("ord", "taxon_id", "rank_code")
-    found = F.lit(None).cast("struct<ord:bigint,taxon_id:bigint,rank_code:string>")
-    for indent in range(0, deepest + 1, SPACES_PER_LEVEL):
-        less = F.last(F.when(F.col("indent") < indent, entry), ignorenulls=True).over(before)
-        found = F.when(F.col("indent") == indent, less).otherwise(found)
-    return report.withColumn("_p", found).withColumns({"parent_id": F.col("_p.taxon_id"), "parent_rank": F.col("_p.rank_code")}).drop("_p")
+    later = F.sequence(F.col("indent") + SPACES_PER_LEVEL, F.greatest(F.col("indent"), F.col("_deepest")) + SPACES_PER_LEVEL, F.lit(SPACES_PER_LEVEL))
+    opened = rows.select("ord", F.explode(later).alias("indent"), entry.alias("_p"))
+    none = F.lit(None).cast("struct<ord:bigint,taxon_id:bigint,rank_code:string>")
+    both = opened.withColumn("_asks", F.lit(False)).unionByName(rows.select("ord", "indent", none.alias("_p"), F.lit(True).alias("_asks")))
+    before = Window.partitionBy("indent").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_p", F.last("_p", ignorenulls=True).over(before)).where("_asks").select("ord", "_p")
+    return report.join(found, "ord").withColumns({"parent_id": F.col("_p.taxon_id"), "parent_rank": F.col("_p.rank_code")}).drop("_p")
 
 
 def intervals(nodes: DataFrame) -> DataFrame:
     """Adds subtree_end: taxa below a row are those with ord < x < subtree_end.
 
-    Rows of a well-formed report are in pre-order, so a subtree ends at the next row of no deeper level.
+    Rows of a well-formed report are in pre-order, so a subtree ends at the next row of no deeper level. A row ends
+    the subtrees of its level and of all deeper ones, so each stands once for each of these levels, and a row's end
+    is the next one at its level.
     """
-    deepest = nodes.agg(F.max("level")).first()[0] or 0
-    after = _all_rows().rowsBetween(1, Window.unboundedFollowing)
-    end = F.lit(None).cast("long")
-    for level in range(deepest + 1):
-        end = F.when(F.col("level") == level, F.min(F.when(F.col("level") <= level, F.col("ord"))).over(after)).otherwise(end)
-    return nodes.withColumn("subtree_end", F.coalesce(end, F.lit(2**62)))
+    all_ = Window.partitionBy(F.lit(0))
+    rows = nodes.withColumn("_deepest", F.max("level").over(all_)).withColumn("_last", F.max("ord").over(all_))
+    at = rows.withColumn("_at", F.explode(F.sequence(F.col("level"), F.col("_deepest"))))
+    ends = at.withColumn("_end", F.lead("ord").over(Window.partitionBy("_at").orderBy("ord"))).where("_at = level")
+    return ends.withColumn("subtree_end", F.coalesce("_end", F.col("_last") + 1)).drop("_at", "_deepest", "_last", "_end")
+
+
+#: Ordinals of a bucket by which subtrees meet the rows inside them.
+_BUCKET = 4096
 
 
 def descendants(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
-    """target, taxon_id: the strict descendants of the given taxa (taxon_id). Walks the parent edges level by level."""
-    edges = nodes.where("parent_id is not null").select("taxon_id", "parent_id")
-    found = None
-    front = taxa.select(F.col("taxon_id").alias("target"), "taxon_id")
-    for _ in range(nodes.agg(F.max("level")).first()[0] or 0):
-        front = front.withColumnRenamed("taxon_id", "parent_id").join(edges, "parent_id").select("target", "taxon_id")
-        found = front if found is None else found.union(front)
-    return found if found is not None else front.limit(0)
+    """target, taxon_id: the strict descendants of the given taxa (taxon_id), as the rows inside their intervals.
+
+    Intervals and rows meet by an equi-join on buckets of ordinals, whatever the depth of the tree is.
+    """
+    within = intervals(nodes).join(taxa.select("taxon_id").distinct(), "taxon_id").select(F.col("taxon_id").alias("target"), F.col("ord").alias("_from"), F.col("subtree_end").alias("_to"))
+    within = within.where(F.col("_to") > F.col("_from") + 1)
+    spread = within.withColumn("_bucket", F.explode(F.sequence(F.floor((F.col("_from") + 1) / _BUCKET), F.floor((F.col("_to") - 1) / _BUCKET))))
+    rows = nodes.select("ord", "taxon_id", F.floor(F.col("ord") / _BUCKET).alias("_bucket"))
+    return spread.join(rows, "_bucket").where((F.col("ord") > F.col("_from")) & (F.col("ord") < F.col("_to"))).select("target", "taxon_id")
 
 
 def ancestors(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
-    """taxon_id: the strict ancestors of any of the given taxa, once each, so that records meet them by an equi-join."""
-    edges = nodes.where("parent_id is not null").select("taxon_id", "parent_id")
-    found = None
-    front = taxa.select("taxon_id")
-    for _ in range(nodes.agg(F.max("level")).first()[0] or 0):
-        front = front.join(edges, "taxon_id").select(F.col("parent_id").alias("taxon_id")).distinct()
-        found = front if found is None else found.union(front)
-    return (found if found is not None else front.limit(0)).distinct()
+    """taxon_id: the strict ancestors of any of the given taxa, once each, so that records meet them by an equi-join.
+
+    A row is one if a target stands inside its interval: targets up to its end, less those up to itself.
+    """
+    marked = intervals(nodes).join(taxa.select("taxon_id").distinct().withColumn("_hit", F.lit(1)), "taxon_id", "left")
+    upto = marked.withColumn("_upto", F.sum(F.coalesce("_hit", F.lit(0))).over(_all_rows().rowsBetween(Window.unboundedPreceding, 0)))
+    ends = nodes.select("ord", F.coalesce(F.lead("ord").over(_all_rows()), F.col("ord") + 1).alias("subtree_end"))
+    last = upto.select("ord", F.col("_upto").alias("_all")).join(ends, "ord").select("subtree_end", "_all")
+    return upto.join(last, "subtree_end").where(F.col("_all") > F.col("_upto")).select("taxon_id")
+
+
+def contains(nodes: DataFrame, taxon_id: int) -> bool:
+    """Whether the tree has a taxon."""
+    return not nodes.where(F.col("taxon_id") == taxon_id).isEmpty()
+
+
+def children_of(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
+    """parent_id, taxon_id: the direct children of the given taxa (taxon_id), in the order of the report by ord."""
+    return nodes.join(taxa.select(F.col("taxon_id").alias("parent_id")).distinct(), "parent_id").select("parent_id", "taxon_id", "ord")
 
 
 def check_targets(nodes: DataFrame, taxon_ids: list[int]) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import cigar, names, tags
 from cladeframe.operators import assignments as asg
 from cladeframe.operators import classify, nrevert, pairing, taxonomy
-from cladeframe.operators.report import flat_report
+from cladeframe.operators.report import flat_report, plain_number, total_sequences
 from cladeframe.plans.views import view, with_views
 from cladeframe.sources import bam, sinks, text
 from cladeframe.streaming import filter_stream
@@ -38,14 +38,17 @@ def _taxa(spark: SparkSession, ids=TARGETS) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree, kept: a taxonomy is small whatever the reads are, and its walks read it once a level."""
-    return taxonomy.tree(view(spark, sf_dir, "report")).persist()
+    return taxonomy.tree(view(spark, sf_dir, "taxa"))
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.target_set(_nodes(spark, sf_dir), _taxa(spark), include_descendants=True, include_unclassified=True)
 
 
+def _above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.ancestors(_nodes(spark, sf_dir), _targets(spark, sf_dir))
+
+
 _BASE = r"regexp_replace(split_part(name, ' ', 1), '/[12]$', '')"
 #: The taxonomy by keys instead of indents.
 _EDGES = """
@@ -87,7 +90,7 @@ def a1_fastx_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = view(spark, sf_dir, "reads").select(names.fastq_base_name(F.col("name")).alias("base"))
     found = asg.look_up(reads, F.col("base"), asg.collapse(view(spark, sf_dir, "classifications")))
     targets = _targets(spark, sf_dir)
-    marked = classify.mark_taxa(found, F.col("taxon_id"), targets, taxonomy.ancestors(_nodes(spark, sf_dir), targets))
+    marked = classify.mark_taxa(found, F.col("taxon_id"), targets, _above(spark, sf_dir))
     return classify.read_metrics(marked.withColumn("decision", classify.decide_read(F.col("on_target"), F.col("is_ancestor"))), F.lit(1))
 
 
@@ -130,7 +133,7 @@ def s11_parse_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(with_views("report", sql=f"~ {_EDGES} SELECT r.ord, r.taxon_id, CAST(r.indent / 2 AS INT) AS level, CAST(e.parent AS BIGINT) AS parent_id FROM report r LEFT JOIN edges e ON r.taxon_id = e.child WHERE r.taxon_id <> 0"))
 def h1_tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir)
+    return taxonomy.tree(view(spark, sf_dir, "report"))
 
 
 _FLAT = """SELECT r.ord, r.taxon_id AS tax_id, r.name, r.rank_code AS rank, CAST(r.indent / 2 AS INT) AS level, CAST(e.parent AS BIGINT) AS parent_tax_id,
@@ -167,7 +170,7 @@ def h5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_TARGET_SQL} SELECT CAST(taxon_id AS BIGINT) AS taxon_id FROM above")
 def h6_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.ancestors(_nodes(spark, sf_dir), _targets(spark, sf_dir))
+    return _above(spark, sf_dir)
 
 
 @_query(f"WITH {_TARGET_SQL} SELECT CAST(taxon_id AS BIGINT) AS taxon_id FROM targets")
@@ -179,7 +182,7 @@ def c1_target_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_name, CASE WHEN taxon_id IN (SELECT taxon_id FROM targets) THEN 'OnTaxa' WHEN taxon_id IN (SELECT taxon_id FROM above) THEN 'AncestorRescue' ELSE 'Reject' END AS decision FROM classifications"""))
 def c2_taxon_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _targets(spark, sf_dir)
-    marked = classify.mark_taxa(view(spark, sf_dir, "classifications"), F.col("taxon_id"), targets, taxonomy.ancestors(_nodes(spark, sf_dir), targets))
+    marked = classify.mark_taxa(view(spark, sf_dir, "classifications"), F.col("taxon_id"), targets, _above(spark, sf_dir))
     return marked.select("query_name", classify.decide_read(F.col("on_target"), F.col("is_ancestor")).alias("decision"))
 
 
@@ -251,15 +254,13 @@ def c6_edit_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DECIDE = """, marked AS (
-  SELECT *, coalesce(taxon IN (SELECT taxon_id FROM targets), false) AS o, coalesce(taxon % 11 = 0, false) AS u FROM within
+  SELECT *, coalesce(taxon IN (SELECT taxon_id FROM targets), false) AS o, coalesce(taxon IN (SELECT taxon_id FROM above), false) AS u FROM within
 )"""
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments with what their taxon is; every eleventh taxon plays an ancestor, as suppliers are leaves."""
-    rows = _alignments(spark, sf_dir)
-    above = rows.where("taxon % 11 = 0").select(F.col("taxon").alias("taxon_id")).distinct()
-    return classify.mark_taxa(rows, F.col("taxon"), _targets(spark, sf_dir), above)
+    """Alignments with what their taxon is to the targets."""
+    return classify.mark_taxa(_alignments(spark, sf_dir), F.col("taxon"), _targets(spark, sf_dir), _above(spark, sf_dir))
 
 
 _RECORD = "CASE WHEN taxon IS NULL THEN 'UnannotatedKeep' WHEN o THEN 'OnTaxa' WHEN u THEN 'AncestorRescue' WHEN ok THEN 'EditRescue' ELSE 'Reject' END"
@@ -419,7 +420,8 @@ def k8_table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(with_views("report", sql="SELECT sum(num_fragments_clade) AS total_sequences FROM report WHERE taxon_id IN (0, 1)").replace("sum(num_fragments_clade) AS total", "CAST(sum(num_fragments_clade) AS BIGINT) AS total"))
 def a4_total_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "report").where("indent = 0").agg(F.sum("num_fragments_clade").alias("total_sequences"))
+    """What the flat report divides its shares by, as the operator itself sums it."""
+    return total_sequences(view(spark, sf_dir, "report")).select(F.col("_total").alias("total_sequences"))
 
 
 @_query("SELECT 1 + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) AS n_taxa")

@@ -31,6 +31,14 @@ FROM (
     FROM {nation} LEFT JOIN {supplier} ON s_nationkey = n_nationkey LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY n_regionkey, n_nationkey, n_name
   UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, count(l_orderkey), count(l_orderkey), 'S', 1000 + s_suppkey, s_name, 6
     FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey LEFT JOIN {lineitem} ON l_suppkey = s_suppkey GROUP BY n_regionkey, n_nationkey, s_suppkey, s_name
+) AS entries""",
+    "taxa": """
+SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS BIGINT) AS ord, CAST(taxon_id AS BIGINT) AS taxon_id, CAST(indent AS INT) AS indent
+FROM (
+  SELECT -1 AS a, -1 AS b, -1 AS c, 1 AS taxon_id, 0 AS indent
+  UNION ALL SELECT r_regionkey, -1, -1, 10 + r_regionkey, 2 FROM {region}
+  UNION ALL SELECT n_regionkey, n_nationkey, -1, 100 + n_nationkey, 4 FROM {nation}
+  UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, 1000 + s_suppkey, 6 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
 ) AS entries""",
     "alignments": f"""
 SELECT CAST(l_orderkey * 64 + {_ORDER} AS BIGINT) AS ord, concat('q', l_orderkey) AS qname,
@@ -39,7 +47,7 @@ SELECT CAST(l_orderkey * 64 + {_ORDER} AS BIGINT) AS ord, concat('q', l_orderkey
   CASE l_partkey % 6 WHEN 0 THEN '32M' WHEN 1 THEN '10M2I20M' WHEN 2 THEN '12M3D20M' WHEN 3 THEN '4S28M' WHEN 4 THEN '16M1I5M2D10M' ELSE '8=4X20M' END AS cigar,
   {_READ_SEQ} AS seq,
   CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CASE l_partkey % 6 WHEN 0 THEN '10A21' WHEN 1 THEN '5C4G19' WHEN 2 THEN '12^ACG20' WHEN 3 THEN '3T24' WHEN 4 THEN '16A4^AC10' ELSE '2A1T2G40C' END END AS md,
-  CAST(CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN NULL ELSE 1000 + l_suppkey END AS BIGINT) AS taxon
+  CAST(CASE WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN NULL WHEN l_partkey % 13 = 0 THEN 100 + l_suppkey % 25 WHEN l_partkey % 13 = 1 THEN 10 + l_suppkey % 5 WHEN l_partkey % 13 = 2 THEN 1 ELSE 1000 + l_suppkey END AS BIGINT) AS taxon
 FROM {{lineitem}}""",
     "pairs": f"""
 SELECT CAST(l_orderkey * 64 + k AS BIGINT) AS ord, concat('q', l_orderkey) AS qname, CAST(CASE k WHEN 1 THEN 65 ELSE 129 END + CASE WHEN l_partkey % 2 = 0 THEN 16 ELSE 0 END AS INT) AS flag, seq
