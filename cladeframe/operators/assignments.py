@@ -36,6 +36,10 @@ def collapse(assignments: DataFrame) -> DataFrame:
     return both.select("query_name", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.raise_error(why)).alias("taxon_id"))
 
 
+def is_classified(taxon: Column) -> Column:
+    return taxon != 0
+
+
 def conflicts(assignments: DataFrame) -> DataFrame:
     """Names with more than one taxon: query_name, n_taxa."""
     return assignments.groupBy("query_name").agg(F.count_distinct("taxon_id").alias("n_taxa")).where("n_taxa > 1")
@@ -61,3 +65,9 @@ def annotate(alignments: DataFrame, assignments: DataFrame) -> DataFrame:
     unnamed = F.col("qname").isNull() | F.col("qname").isin("", "*")
     tags = F.when(unnamed, F.col("tags")).when(F.col("_taxon").isNull(), F.raise_error(why)).otherwise(set_taxon(F.col("tags"), F.col("_taxon")))
     return joined.withColumn("tags", tags).drop("_name", "_taxon")
+
+
+def annotate_counters(annotated: DataFrame) -> list[Column]:
+    """Aggregates for annotated alignments: total, unnamed (passed as they are) and annotated records."""
+    unnamed = F.coalesce(F.col("qname").isin("", "*"), F.lit(True))
+    return [F.count("*").alias("total"), F.count_if(unnamed).alias("unnamed"), F.count_if(~unnamed).alias("annotated")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions.cigar import reference_span, reverted, with_quality
@@ -51,3 +51,8 @@ def revert_n_calls(records: DataFrame, reference: DataFrame, quality: int | None
     if quality is not None:
         changed["qual"] = with_quality(F.col("qual"), places, quality)
     return out.withColumns(changed).drop("_ord", "_bases", "_r", "_span")
+
+
+def revert_counters() -> list[Column]:
+    """Aggregates for the rows of revert_n_calls: all records and the bases restored."""
+    return [F.count("*").alias("records"), F.coalesce(F.sum("converted"), F.lit(0)).alias("converted")]

@@ -98,3 +98,10 @@ def zip_pairs(first: DataFrame, second: DataFrame, name_of: Column | None = None
 def single_reads(reads: DataFrame) -> DataFrame:
     return reads.select("ord", "name", F.col("seq").alias("r1"), F.lit(None).cast("string").alias("r2"))
 
+
+def alignment_templates(rows: DataFrame, grouped: bool, by_name: bool, per_record: bool = False) -> DataFrame:
+    """Templates of alignments: put together where input is grouped by name and not taken record by record, else one a record."""
+    if not grouped or per_record:
+        return single_templates(rows, grouped, per_record)
+    primary = rows.where(is_primary(F.col("flag")))
+    return grouped_templates(primary if by_name else runs(primary), "qname" if by_name else "run")

@@ -127,14 +127,23 @@ def children_of(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     return nodes.join(taxa.select(F.col("taxon_id").alias("parent_id")).distinct(), "parent_id").select("parent_id", "taxon_id", "ord")
 
 
+def unknown_targets(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
+    """taxon_id: targets but 0 that the tree doesn't have."""
+    return taxa.where("taxon_id <> 0").select("taxon_id").distinct().join(nodes.select("taxon_id"), "taxon_id", "left_anti")
+
+
 def check_targets(nodes: DataFrame, taxon_ids: list[int]) -> None:
     """With a tree, each target but 0 must be in it."""
-    wanted = [t for t in set(taxon_ids) if t != 0]
-    known = {r[0] for r in nodes.where(F.col("taxon_id").isin(wanted)).select("taxon_id").collect()} if wanted else set()
-    if missing := sorted(set(wanted) - known):
+    taxa = nodes.sparkSession.createDataFrame([(t,) for t in sorted(set(taxon_ids))], "taxon_id long")
+    if missing := sorted(r[0] for r in unknown_targets(nodes, taxa).collect()):  # a part of what the user gave
         raise ValueError(f"taxon IDs not found in the taxonomy tree: {missing}")
 
 
+def duplicate_taxa(report: DataFrame) -> DataFrame:
+    """taxon_id, n: taxa but 0 that stand more than once, for which tree() fails."""
+    return report.where("taxon_id <> 0").groupBy("taxon_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def target_set(nodes: DataFrame | None, taxa: DataFrame, include_descendants: bool = False, include_unclassified: bool = False) -> DataFrame:
     """taxon_id: the targets, with what is below them and with 0 if asked for."""
     out = taxa.select(F.col("taxon_id").cast("long").alias("taxon_id"))

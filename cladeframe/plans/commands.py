@@ -87,12 +87,7 @@ def templates(spark: SparkSession, inputs: list[str], per_record: bool = False)
         if len(inputs) > 1:
             raise ValueError("alignment input takes one file")
         header, rows, _ = read_alignments(spark, first)
-        grouped = text.is_query_grouped(header)
-        if grouped and not per_record:
-            by_name = "SO:queryname" in header[0].split("\t")
-            rows = rows.where(F.col("flag").bitwiseAND(F.lit(0x900)) == 0)
-            return pairing.grouped_templates(rows if by_name else pairing.runs(rows), "qname" if by_name else "run")
-        return pairing.single_templates(rows, grouped, per_record)
+        return pairing.alignment_templates(rows, text.is_query_grouped(header), bool(header) and "SO:queryname" in header[0].split("\t"), per_record)
     reads = _reads(spark, first, kind).withColumn("name", fastq_name(F.col("name")))
     if len(inputs) > 1:
         second, other = _readable(inputs[1])

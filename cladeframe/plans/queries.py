@@ -13,8 +13,9 @@ from cladeframe.functions import cigar, names, tags
 from cladeframe.operators import assignments as asg
 from cladeframe.operators import classify, nrevert, pairing, taxonomy
 from cladeframe.operators.report import flat_report, plain_number, total_sequences
+from cladeframe.plans import commands
 from cladeframe.plans.views import view, with_views
-from cladeframe.sources import bam, sinks, text
+from cladeframe.sources import bam, embedded, sinks, taxonomy_files, text
 from cladeframe.streaming import filter_stream
 
 #: Targets of the queries: two nations' suppliers by way of the tree, and one supplier.
@@ -434,3 +435,202 @@ SELECT ord, CASE WHEN coalesce(taxon_id, 0) IN (SELECT taxon_id FROM targets) TH
 def g9_filter_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-read filtering, as the stream runs it."""
     return filter_stream(view(spark, sf_dir, "reads"), view(spark, sf_dir, "classifications"), _targets(spark, sf_dir)).select("ord", "decision")
+
+
+# ---------------------------------------------------------------- fixed vectors, headers, taxonomy files, counters
+
+
+def _vectors(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, (bool, int)) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+#: Leading bytes and the format that they tell.
+_HEADS = [("BAM\x01..", "bam"), ("CRAM\x03", "cram"), (">r1\nAC", "fasta"), ("@r1 x\nAC", "fastq"), ("@HD\tVN:1.6\n", "sam"), ("@SQ\tSN:a", "sam"), ("@r1", "fastq"), ("r1\t0", "unknown"), ("", "unknown")]
+
+
+@_query(_values([(k, f) for k, (_, f) in enumerate(_HEADS)], "k, format"))
+def f2_sniffed_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, [(k, text.sniff_bytes(head.encode("latin-1")).value) for k, (head, _) in enumerate(_HEADS)], "k int, format string")
+
+
+_PATHS = [("a.fa", "fasta", False), ("a.FASTA.gz", "fasta", False), ("b.fq.gz", "fastq", False), ("b.fastq", "fastq", False), ("c.bam", "bam", False), ("c.cram", "cram", False), ("c.sam", "sam", False), ("c", "sam", False), ("/dev/stdout", "bam", True), ("/dev/fd/3", "bam", True), ("/proc/self/fd/1", "bam", True), ("/dev/null", "sam", False)]
+
+
+@_query(_values(_PATHS, "path, format, pseudo"))
+def f4_formats_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, [(p, text.infer_format(p).value, text.is_pseudo_path(p)) for p, _, _ in _PATHS], "path string, format string, pseudo boolean")
+
+
+_HEADERS = [("@HD\tVN:1.6\tSO:queryname", True, False), ("@HD\tVN:1.6\tGO:query", True, False), ("@HD\tVN:1.6\tSO:coordinate", False, True), ("@HD\tVN:1.6", False, False), ("@CO\tSO:queryname", False, False), ("@HD\tVN:1.6\tSO:unsorted\tGO:query", True, False)]
+
+
+@_query(_values([(k, g, c) for k, (_, g, c) in enumerate(_HEADERS)], "k, grouped, sorted"))
+def f7_orders_of_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, [(k, text.is_query_grouped([h]), text.is_coordinate_sorted([h])) for k, (h, _, _) in enumerate(_HEADERS)], "k int, grouped boolean, sorted boolean")
+
+
+_PAIRS = [("x/1", "x/2", True, True), ("x/1", "y", True, True), ("x", "x", True, False), ("x", "y", False, False), ("x", "x/2", False, False)]
+
+
+@_query(_values(_PAIRS, "first, second, for_templates, for_filter"))
+def g4_interleaved_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(a, b, pairing.is_interleaved([a, b]), pairing.is_interleaved([a, b], match_names=False)) for a, b, _, _ in _PAIRS]
+    return _vectors(spark, rows, "first string, second string, for_templates boolean, for_filter boolean")
+
+
+@_query("SELECT o_orderkey AS ord, concat('c', o_custkey) AS name FROM orders")
+def p4_fasta_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lead = F.when(F.col("o_orderkey") % 3 == 0, ">").when(F.col("o_orderkey") % 3 == 1, "  >> ").otherwise("")
+    return orders.select(F.col("o_orderkey").alias("ord"), names.fasta_name(F.concat(lead, F.lit("c"), F.col("o_custkey"), F.when(F.col("o_orderkey") % 2 == 0, "\tof many words ").otherwise(""))).alias("name"))
+
+
+@_query("SELECT o_orderkey AS ord, regexp_replace(regexp_replace(printf('%.3f', o_orderkey / 8), '0+$', ''), '[.]$', '') AS value FROM orders")
+def p25_plain_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("ord"), plain_number(F.col("o_orderkey") / 8).alias("value"))
+
+
+@_query(with_views("classifications", sql="SELECT query_name, classification_code = 'C' AS classified FROM classifications"))
+def p21_is_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "classifications").select("query_name", asg.is_classified(F.col("taxon_id")).alias("classified"))
+
+
+@_query(with_views("alignments", sql="SELECT ord, qname AS name, seq AS r1 FROM alignments WHERE flag IN (65, 129, 69)"))
+def w2_unpaired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unpaired records need no grouping: the guard lets them pass, and their names stay."""
+    rows = _alignments(spark, sf_dir).withColumn("flag", F.col("flag").bitwiseAND(F.lit(~0xC1)))
+    return pairing.single_templates(rows).select("ord", "name", "r1")
+
+
+@_query(with_views("report", sql="SELECT CAST(taxon_id AS BIGINT) AS taxon_id, CAST(2 AS BIGINT) AS n FROM report WHERE taxon_id % 7 = 3"))
+def a8_duplicate_taxa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = view(spark, sf_dir, "report")
+    return taxonomy.duplicate_taxa(report.union(report.where("taxon_id % 7 = 3 or taxon_id = 0")))
+
+
+@_query("SELECT DISTINCT CAST(1000 + l_suppkey * 2 AS BIGINT) AS taxon_id FROM lineitem WHERE l_suppkey * 2 NOT IN (SELECT s_suppkey FROM supplier)")
+def w9_unknown_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_suppkey") * 2 + 1000).cast("long").alias("taxon_id")).union(_taxa(spark, (0, 1)))
+    return taxonomy.unknown_targets(_nodes(spark, sf_dir), wanted)
+
+
+@_query(f"WITH {_EDGES.strip()} SELECT CAST(parent AS BIGINT) AS parent_id, CAST(child AS BIGINT) AS taxon_id FROM edges WHERE parent IN (1, 103, 11)")
+def h4_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.children_of(_nodes(spark, sf_dir), _taxa(spark, (1, 103, 11, 99999))).drop("ord")
+
+
+_ENDS = "SELECT ord, concat('r', ord) AS name, seq1 AS r1, seq2 AS r2 FROM ends"
+
+
+@_query(with_views("ends", sql=_ENDS))
+def j7_zip_fasta_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = view(spark, sf_dir, "ends")
+    return pairing.zip_pairs(*(ends.select("ord", names.fasta_name(F.concat(F.lit(">"), F.col(f"name{k}"), F.lit(" some words"))).alias("name"), F.col(f"seq{k}").alias("seq")) for k in (1, 2)))
+
+
+@_query(with_views("ends", sql=_ENDS))
+def j8_zip_base_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the filter go together by base names; which suffix they have is not asked."""
+    ends = view(spark, sf_dir, "ends")
+    return pairing.zip_pairs(*(ends.select("ord", names.fastq_base_name(F.col("name2")).alias("name"), F.col(f"seq{k}").alias("seq")) for k in (1, 2)))
+
+
+@_query(with_views("pairs", sql=f"""SELECT a.ord, a.qname AS name, a.s AS r1, b.s AS r2 FROM (SELECT *, {_FORWARD} AS s FROM pairs WHERE flag & 64 <> 0) a LEFT JOIN (SELECT *, {_FORWARD} AS s FROM pairs WHERE flag & 128 <> 0) b USING (qname)"""))
+def g7_templates_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input that is only grouped by name, as its header says: templates by runs of names."""
+    header = ["@HD\tVN:1.6\tGO:query"]
+    return pairing.alignment_templates(view(spark, sf_dir, "pairs"), text.is_query_grouped(header), "SO:queryname" in header[0])
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """A taxonomy as report entries, on the driver, as it has to become header lines or a file: as many as taxa."""
+    rows = view(spark, sf_dir, "taxa").orderBy("ord").collect()
+    return [dict.fromkeys(embedded.KEYS) | {"pct_fragments": 0.0, "num_fragments_clade": 0, "num_fragments_direct": 0, "rank_code": "RDPS"[r.indent // 2], "taxon_id": r.taxon_id, "name": f"t{r.taxon_id}", "indent": r.indent} for r in rows]
+
+
+def _entries(spark: SparkSession, listed: list) -> DataFrame:
+    return spark.createDataFrame(listed, taxonomy_files.SCHEMA).select("ord", "rank_code", "taxon_id", "name", "indent")
+
+
+_TAXA_SQL = "SELECT ord, substr('RDPS', CAST(indent / 2 AS INT) + 1, 1) AS rank_code, taxon_id, concat('t', taxon_id) AS name, indent FROM taxa"
+
+
+@_query(with_views("taxa", sql=_TAXA_SQL))
+def e3_embedded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries as comment lines of a header, in shuffled chunks, and back."""
+    lines = [f"@CO\t{c}" for c in embedded.to_comments(_listed(spark, sf_dir))]
+    back = embedded.from_header(["@HD\tVN:1.6", *lines[::-1], "@CO\tsomething else"])
+    return _entries(spark, [(k, *(e[n] for n in embedded.KEYS)) for k, e in enumerate(back)])
+
+
+_RANKS = {"R": "root", "D": "domain", "P": "phylum", "S": "species"}
+
+
+@_query(with_views("taxa", sql=_TAXA_SQL))
+def s14_taxonomy_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dumps of a taxonomy, in an order that has nothing to do with the tree, read by the driver."""
+    listed, parent, path = _listed(spark, sf_dir), {}, []
+    for e in listed:
+        del path[e["indent"] // 2 :]
+        parent[e["taxon_id"]] = path[-1] if path else e["taxon_id"]
+        path.append(e["taxon_id"])
+    by_id = sorted(listed, key=lambda e: (e["taxon_id"] * 7919) % 10007)
+    nodes = [f"{e['taxon_id']}\t|\t{parent[e['taxon_id']]}\t|\t{_RANKS[e['rank_code']]}\t|" for e in by_id]
+    each = [f"{e['taxon_id']}\t|\t{n}\t|\t\t|\t{kind}\t|" for e in by_id for n, kind in ((f"old {e['taxon_id']}", "synonym"), (e["name"], "scientific name"))]
+    return _entries(spark, taxonomy_files.parse_dump(nodes, each))
+
+
+@_query(with_views("taxa", sql=_TAXA_SQL))
+def s13_binary_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The binary form of a taxonomy, level by level, with a node without an outer id above the domains, which is skipped."""
+    listed, kids, path = _listed(spark, sf_dir), {}, []
+    for e in listed:
+        del path[e["indent"] // 2 :]
+        kids.setdefault(path[-1] if path else None, []).append(e)
+        path.append(e["taxon_id"])
+    names_, ranks = b"", b"".join(r.encode() + b"\0" for r in _RANKS.values())
+    hidden = {"taxon_id": 0, "name": "hidden", "rank_code": "D"}
+    children = lambda e: [hidden] if e["taxon_id"] == 1 else kids[1] if e is hidden else kids.get(e["taxon_id"], [])
+    order, at = [kids[None][0]], 0
+    begin = {}
+    while at < len(order):
+        begin[at] = len(order) + 1
+        order += children(order[at])
+        at += 1
+    packed = [taxonomy_files.NODE.pack(0, 0, 0, 0, 0, 0, 0)]
+    for k, e in enumerate(order):
+        n = len(children(e))
+        packed.append(taxonomy_files.NODE.pack(0, begin[k] if n else 0, n, len(names_), ranks.index(_RANKS[e["rank_code"]].encode()), e["taxon_id"], 0))
+        names_ += e["name"].encode() + b"\0"
+    blob = taxonomy_files.MAGIC + b"".join(x.to_bytes(8, "little") for x in (len(packed), len(names_), len(ranks))) + b"".join(packed) + names_ + ranks
+    return _entries(spark, taxonomy_files.parse_binary(blob))
+
+
+@_query(with_views("alignments", sql=f"~ {_TARGET_SQL}, {_WALK.lstrip()}{_DECIDE}{_TEMPLATE} SELECT a.ord, a.qname, decision FROM alignments a JOIN decided USING (qname)"))
+def g8_filter_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments with tags, sorted by name, and the taxonomy in their header: decided by template."""
+    lines = [f"@CO\t{c}" for c in embedded.to_comments(_listed(spark, sf_dir))]
+    tag = lambda name, kind, value: F.when(value.isNotNull(), F.array(F.struct(F.lit(name).alias("tag"), F.lit(kind).alias("type"), value.cast("string").alias("value")))).otherwise(F.array().cast(tags.TAGS))
+    rows = _alignments(spark, sf_dir).withColumn("tags", F.concat(tag("MD", "Z", F.col("md")), tag("ti", "i", F.col("taxon")))).drop("taxon", "md")
+    options = commands.FilterOptions(list(TARGETS), include_descendants=True, include_unclassified=True, allow_ancestors=True, keep_unannotated=True, **LIMITS)
+    decided, _ = commands.filter_alignments(spark, ["@HD\tVN:1.6\tSO:queryname", *lines], rows, None, options)
+    return decided.select("ord", "qname", "decision")
+
+
+@_query(with_views("alignments", "classifications", sql="SELECT count(*) AS total, count(*) FILTER (l % 9 = 0) AS unnamed, count(*) FILTER (l % 9 <> 0) AS annotated FROM (SELECT a.ord AS l FROM alignments a JOIN classifications c ON c.query_name = a.qname)"))
+def a6_annotate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = view(spark, sf_dir, "classifications")
+    rows = _alignments(spark, sf_dir).join(side.select(F.col("query_name").alias("qname")), "qname", "left_semi").withColumn("tags", F.array().cast(tags.TAGS))
+    rows = rows.withColumn("qname", F.when(F.col("ord") % 9 != 0, F.col("qname")))
+    return asg.annotate(rows, side.select("query_name", "taxon_id")).agg(*asg.annotate_counters(rows))
+
+
+@_query(with_views("alignments", "reference", sql=f"""~ {_WALK} SELECT (SELECT count(*) FROM alignments) AS records, count(*) AS converted
+FROM alignments a JOIN bases b USING (ord) JOIN reference r ON r.contig = a.rname WHERE a.flag & 4 = 0 AND substr(a.seq, CAST(b.read_at AS INT) + 1, 1) = 'N' AND a.pos + b.ref_at <= length(r.seq)"""))
+def a5_revert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nrevert.revert_n_calls(_alignments(spark, sf_dir), view(spark, sf_dir, "reference"), chunk=64).agg(*nrevert.revert_counters())

@@ -19,8 +19,12 @@ def _entry(k: int, rank: str, taxon: int, name: str, depth: int) -> tuple:
 
 
 def read_binary(path: str) -> list[tuple]:
+    with open(path, "rb") as f:
+        return parse_binary(f.read())
+
+
+def parse_binary(data: bytes) -> list[tuple]:
     """Report entries in pre-order. Nodes without an outer id are skipped and their children take their depth."""
-    data = open(path, "rb").read()
     if data[:8] != MAGIC:
         raise ValueError("not a binary taxonomy: bad magic")
     if len(data) < 32:
@@ -50,18 +54,23 @@ def read_binary(path: str) -> list[tuple]:
     return out
 
 
-def _cells(path: str):
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            yield [c.strip() for c in line.split("|")]
+def _cells(lines):
+    for line in lines:
+        yield [c.strip() for c in line.split("|")]
 
 
 def read_dump(folder: str) -> list[tuple]:
-    """Report entries in pre-order of taxonomy/nodes.dmp and names.dmp, children by id; short and unparsable lines are skipped."""
+    """parse_dump of taxonomy/nodes.dmp and names.dmp."""
     at = os.path.join(folder, "taxonomy")
-    names = {int(c[0]): c[1] for c in _cells(os.path.join(at, "names.dmp")) if len(c) > 3 and c[0].isdigit() and c[3] == "scientific name"}
+    with open(os.path.join(at, "nodes.dmp"), encoding="utf-8") as nodes, open(os.path.join(at, "names.dmp"), encoding="utf-8") as names:
+        return parse_dump(nodes, names)
+
+
+def parse_dump(node_lines, name_lines) -> list[tuple]:
+    """Report entries in pre-order, children by id; short and unparsable lines are skipped."""
+    names = {int(c[0]): c[1] for c in _cells(name_lines) if len(c) > 3 and c[0].isdigit() and c[3] == "scientific name"}
     children, ranks = defaultdict(list), {}
-    for c in _cells(os.path.join(at, "nodes.dmp")):
+    for c in _cells(node_lines):
         if len(c) < 3 or not (c[0].isdigit() and c[1].isdigit()):
             continue
         node, parent = int(c[0]), int(c[1])
