@@ -62,7 +62,8 @@ def read_alignments(spark: SparkSession, path: str) -> tuple[list[str], DataFram
 
 
 def write_alignments(rows: DataFrame, header: list[str], path: str, level: int = 5, index: bool = True) -> None:
-    """SAM or BAM by extension; a BAM file that is sorted by coordinate gets its index beside it, standard streams don't."""
+    """SAM or BAM by extension, BAM on standard streams; a BAM file that is sorted by coordinate gets its index beside it, streams don't."""
+    path = "/dev/stdout" if path == "-" else path
     if text.infer_format(path) is Format.BAM:
         bam.write_bam(rows, header, path, level, index and text.is_coordinate_sorted(header) and not text.is_pseudo_path(path))
     elif text.infer_format(path) is Format.CRAM:
@@ -121,7 +122,13 @@ def run_annotate(spark: SparkSession, input: str, output: str, classifications:
     if entries is not None:  # a taxonomy, not reads: small, and it has to become header lines
         listed = [r.asDict() for r in entries.orderBy("ord").toLocalIterator()]
         header = header + [f"@CO\t{c}" for c in embedded.to_comments(listed)]
-    write_alignments(asg.annotate(rows, text.read_assignments(spark, classifications)), header, output, level)
+    tagged = asg.annotate(rows, text.read_assignments(spark, classifications)).persist()  # for the file and the counters
+    try:
+        write_alignments(tagged, header, output, level)
+        n = tagged.agg(*asg.annotate_counters(tagged)).first()
+        log.info("annotated %d of %d records, %d without a name", n.annotated, n.total, n.unnamed)
+    finally:
+        tagged.unpersist()
 
 
 @dataclass
@@ -173,7 +180,7 @@ def filter_reads(spark: SparkSession, inputs: list[str], classifications: str, r
         units, weight = files[0].select(F.col("ord").alias("unit"), "base"), 1
         split = F.col("ord")
     found = classify.mark_taxa(asg.look_up(units, F.col("base"), side), F.col("taxon_id"), targets, above)
-    decided = found.select("unit", "base", "missing", classify.decide_read(F.col("on_target"), F.col("is_ancestor")).alias("decision"))
+    decided = found.select("unit", "base", "missing", classify.decide_read(F.col("on_target"), F.col("is_ancestor")).alias("decision")).persist()  # asked by each sink and the metrics
     out = [f.join(decided.select("unit", "decision"), split == F.col("unit")).drop("unit", "base") for f in files]
     return out, classify.read_metrics(decided, F.lit(weight)), asg.unconsumed(side, units, F.col("base"))
 
@@ -209,39 +216,45 @@ def log_metrics(rows: list, options: FilterOptions) -> None:
             log.warning("%s have no classification", r["missing_classifications"])
 
 
-def run_filter(spark: SparkSession, inputs: list[str], outputs: list[str], options: FilterOptions, rejects: list[str] = (), classifications: str | None = None, report: str | None = None, metrics: str | None = None) -> list:
-    """Kept and, if asked for, rejected reads or records; returns the metric rows."""
+def run_filter(spark: SparkSession, inputs: list[str], outputs: list[str], options: FilterOptions, rejects: list[str] = (), classifications: str | None = None, report: str | None = None, metrics: str | None = None, level: int = 5) -> list:
+    """Kept and, if asked for, rejected reads or records; returns the metric rows. Decisions are made once and kept for all sinks."""
     if len(outputs) != len(inputs) or rejects and len(rejects) != len(inputs):
         raise ValueError("give as many outputs and rejects as inputs")
     if options.per_record and len(inputs) > 1:
         raise ValueError("--per-record takes one input")
     paths = [_real(p) for p in inputs]
     kind = _readable(paths[0])[1]
-    if kind in (Format.FASTA, Format.FASTQ):
-        if not classifications:
-            raise ValueError("FASTQ and FASTA input needs --classifications")
-        files, counts, left = filter_reads(spark, paths, classifications, report, options)
-        lines = sinks.fastq_lines if kind is Format.FASTQ else sinks.fasta_read_lines
-        for k, rows in enumerate(files):
-            kept = F.col("decision") != classify.REJECT
-            sinks.write_lines(lines(rows.where(kept)), outputs[k])
+    kept = F.col("decision") != classify.REJECT
+    held = []
+    try:
+        if kind in (Format.FASTA, Format.FASTQ):
+            if not classifications:
+                raise ValueError("FASTQ and FASTA input needs --classifications")
+            files, counts, left = filter_reads(spark, paths, classifications, report, options)
+            lines = sinks.fastq_lines if kind is Format.FASTQ else sinks.fasta_read_lines
+            for k, rows in enumerate(files):
+                sinks.write_lines(lines(rows.where(kept)), outputs[k], level=level)
+                if rejects:
+                    sinks.write_lines(lines(rows.where(~kept)), rejects[k], level=level)
+            if n := left.count():
+                log.warning("%d classifications matched no read", n)
+        else:
+            if classifications:
+                raise ValueError("--classifications is not valid for SAM/BAM/CRAM input")
+            header, rows, _ = read_alignments(spark, paths[0])
+            decided, counts = filter_alignments(spark, header, rows, report, options)
+            held.append(decided.persist())
+            write_alignments(decided.where(kept), header, outputs[0], level)
             if rejects:
-                sinks.write_lines(lines(rows.where(~kept)), rejects[k])
-        if n := left.count():
-            log.warning("%d classifications matched no read", n)
-    else:
-        if classifications:
-            raise ValueError("--classifications is not valid for SAM/BAM/CRAM input")
-        header, rows, _ = read_alignments(spark, paths[0])
-        decided, counts = filter_alignments(spark, header, rows, report, options)
-        kept = F.col("decision") != classify.REJECT
-        write_alignments(decided.where(kept), header, outputs[0])
-        if rejects:
-            write_alignments(decided.where(~kept), header, rejects[0])
-    listed = counts.orderBy("template").collect()
+                write_alignments(decided.where(~kept), header, rejects[0], level)
+        listed = counts.orderBy("template").collect()
+    finally:
+        for rows in held:
+            rows.unpersist()
     log_metrics(listed, options)
     if metrics:
-        head, lines = sinks.table_lines(counts.withColumn("ord", F.col("template").cast("long")))
+        # A row or two, which are here already.
+        head, lines = sinks.table_lines(spark.createDataFrame(listed, counts.schema).withColumn("ord", F.col("template").cast("long")))
         sinks.write_lines(lines, metrics, [head])
     return listed
 
@@ -252,7 +265,13 @@ def run_n2ref(spark: SparkSession, input: str, output: str, reference: str, qual
         raise ValueError(f"the reference has no index: {reference}.fai")
     header, rows, _ = read_alignments(spark, input)
     contigs = text.read_fasta(spark, reference).select(F.col("name").alias("contig"), "seq")
-    write_alignments(nrevert.revert_n_calls(rows, contigs, quality).drop("converted"), header, output, level, index=False)
+    restored = nrevert.revert_n_calls(rows, contigs, quality).persist()  # for the file and the counters
+    try:
+        write_alignments(restored.drop("converted"), header, output, level, index=False)
+        n = restored.agg(*nrevert.revert_counters()).first()
+        log.info("restored %d bases in %d records", n.converted, n.records)
+    finally:
+        restored.unpersist()
 
 
 def run_report2tsv(spark: SparkSession, input: str, output: str) -> None:

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeframe.sources.bgzf import BLOCK, EOF, block, blocks, inflate
+from cladeframe.sources.sinks import target, write_packed
+
 #: Fixed values of the public format.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 _INT = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
-EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-#: Bytes that a block holds.
-BLOCK = 65280
 #: What blocks of the public tools begin with, up to the length; blocks of a split that are looked at for its first record.
 BLOCK_START, HEAD_BLOCKS = EOF[:16], 64
 #: Bytes that a record may have where its place must be told.
@@ -28,26 +28,9 @@ _TAG = pa.list_(pa.struct([("tag", pa.string()), ("type", pa.string()), ("value"
 _TYPES = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), _TAG]
 
 
-def inflate(data: bytes) -> bytes:
-    """All members of a gzip or BGZF stream."""
-    out, at = [], 0
-    view = memoryview(data)
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(view[at:]) + d.flush())
-        at = len(data) - len(d.unused_data)
-    return b"".join(out)
-
-
-def _block(part: bytes, level: int) -> bytes:
-    c = zlib.compressobj(level, zlib.DEFLATED, -15)
-    body = c.compress(part) + c.flush()
-    return struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
-
-
 def deflate(data: bytes, level: int = 5) -> bytes:
     """BGZF blocks and the end marker."""
-    return b"".join([*(_block(data[at : at + BLOCK], level) for at in range(0, len(data), BLOCK)), EOF])
+    return b"".join([*blocks(data, level), EOF])
 
 
 def split_header(data: bytes) -> tuple[list[str], list[str], int]:
@@ -392,40 +375,43 @@ class Index:
 
 
 def write_bam(alignments: DataFrame, header: list[str], path: str, level: int = 5, index: bool = False) -> None:
-    """One local file in the order of ord, and its index at path.bai if asked for.
+    """One local file or standard output in the order of ord, and a file's index at path.bai if asked for.
 
-    Rows stream through the driver a partition at a time; the files appear when whole.
+    Executors encode and compress; the driver writes the pieces. Only with an index, whose offsets run through the
+    whole file, do the rows stream through the driver.
     """
-    import os
-
     head, refs = encode_header(header)
-    found, blocks = Index(len(refs)), [0]
-    with open(part := f"{path}.part", "wb") as f:
-        pending = bytearray(head)
+    if not index:
+
+        def encode(batch):
+            for row in batch.to_pylist():
+                yield encode_record(row, refs)
+
+        write_packed(alignments, path, encode, level, b"".join(blocks(head, level)), EOF)
+        return
+    found, begins = Index(len(refs)), [0]
+    with target(path) as f:
+        pending, size, done = bytearray(head), len(head), 0
 
-        def flush(last: bool) -> None:
-            cut = len(pending) if last else len(pending) // BLOCK * BLOCK
+        def flush(last: bool) -> int:
+            cut, wrote = len(pending) if last else len(pending) // BLOCK * BLOCK, 0
             for at in range(0, cut, BLOCK):
-                f.write(_block(bytes(pending[at : min(at + BLOCK, cut)]), level))
-                blocks.append(f.tell())
+                wrote += f.write(block(bytes(pending[at : min(at + BLOCK, cut)]), level))
+                begins.append(done + wrote)
             del pending[:cut]
+            return wrote
 
-        size = len(head)
         for r in alignments.orderBy("ord").toLocalIterator():
             one = encode_record(r, refs)
-            if index:
-                found.add(one, size)
+            found.add(one, size)
             pending += one
             size += len(one)
             if len(pending) > 1 << 22:
-                flush(False)
+                done += flush(False)
         flush(True)
         f.write(EOF)
-    os.replace(part, path)
-    if index:
-        with open(part := f"{path}.bai.part", "wb") as f:
-            f.write(found.encode(blocks))
-        os.replace(part, f"{path}.bai")
+    with target(f"{path}.bai") as f:
+        f.write(found.encode(begins))
 
 
 def text_lines(alignments: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import struct
 import pytest
 
 from cladeframe.plans import commands
-from cladeframe.plans.cli import _parser
-from cladeframe.sources import bam, embedded, taxonomy_files, text
+from cladeframe.plans.cli import _parser, main
+from cladeframe.sources import bam, bgzf, embedded, taxonomy_files, text
 
 SAM = "@HD\tVN:1.6\tSO:queryname\n@SQ\tSN:chr1\tLN:100\n"
 
@@ -206,3 +206,45 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {r.name: r.decision for r in spark.table("decided").collect()} == {"a/1": "OnTaxa", "b": "Reject"}
+
+
+def _run(args, stdin=b"", monkeypatch=None, capfdbinary=None):
+    import io
+    import sys
+
+    monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(stdin)))
+    out = io.BytesIO()
+    stream = io.TextIOWrapper(out, write_through=True)
+    monkeypatch.setattr(sys, "stdout", stream)
+    code = main(args)
+    data = out.getvalue()
+    monkeypatch.undo()
+    return code, data
+
+
+def test_standard_streams(spark, tmp_path, monkeypatch):
+    calls = write(tmp_path / "c.txt", "C\tr1\t9\t4\tx\nC\tr2\t7\t4\tx\n")
+    reads = gzip.compress(b"@r1 d\nACGT\n+\nIIII\n@r2\nTTTT\n+\nIIII\n")
+    assert _run(["filter", "-t", "9", "-c", calls], reads, monkeypatch) == (0, b"@r1 d\nACGT\n+\nIIII\n")
+    assert _run(["prep"], reads, monkeypatch) == (0, b">r1\nACGT\n>r2\nTTTT\n")
+    source = sam(("r1", 0, "chr1", 1, "4M", "ACGT", ""), ("r2", 0, "chr1", 2, "4M", "ACGT", "")).replace("SO:queryname", "SO:coordinate")
+    code, data = _run(["annotate", "-a", calls, "--unordered", "--threads", "2"], source.encode(), monkeypatch)
+    assert code == 0 and [r[-1][0]["value"] for r in bam.records(bam.inflate(data))] == ["9", "7"] and not list(tmp_path.glob("*.bai"))
+    report = b"100.00\t5\t0\tR\t1\troot\n"
+    code, data = _run(["report2tsv"], report, monkeypatch)
+    assert code == 0 and data.splitlines()[1].startswith(b"1\troot\tR\t0\t")
+    bad = _run(["report2tsv"], b"100.00\t5\t0\tR\t1\troot\n1\t2\n", monkeypatch)
+    assert bad[0] == 1
+
+
+def test_places_and_flags(spark, tmp_path, monkeypatch):
+    report = write(tmp_path / "r.txt", "100.00\t5\t0\tR\t1\troot\n")
+    assert _run(["report2tsv", report, str(tmp_path / "o.tsv")], b"", monkeypatch)[0] == 0 and (tmp_path / "o.tsv").read_text().count("\n") == 2
+    assert _run(["report2tsv", report, "-i", report], b"", monkeypatch)[0] == 1
+    calls = write(tmp_path / "c.txt", "C\tr1\t9\t4\tx\n")
+    reads = write(tmp_path / "a.fq", "@r1\nACGT\n+\nIIII\n" * 1 + "".join(f"@z{k}\nACGT\n+\nIIII\n" for k in range(9000)))
+    kept, gone = str(tmp_path / "k.fq.gz"), str(tmp_path / "g.fq.gz")
+    assert _run(["filter", reads, "-t", "9", "-c", calls, "-o", kept, "-r", gone, "--compression-level", "9"], b"", monkeypatch)[0] == 0
+    assert gzip.open(kept, "rt").read() == "@r1\nACGT\n+\nIIII\n" and gzip.open(gone, "rt").read().startswith("@z0\n")
+    raw = open(gone, "rb").read()
+    assert raw.endswith(bgzf.EOF) and raw[12:14] == b"BC" and raw.count(bgzf.EOF[:4]) > 2
