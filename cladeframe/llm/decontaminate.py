@@ -147,7 +147,7 @@ class _Found:
         """n_words, n_hit, item ids, merged hit spans in words, longest matches."""
         if not self.hits:
             return self.n, 0, [], [], []
-        h = np.concatenate(self.hits)
+        h = np.unique(np.concatenate(self.hits), axis=0)  # pieces of a long text overlap, and a short item may lie in both
         spans = _united(np.stack([h[:, 2], h[:, 2] + h[:, 3]], axis=1))
         items = sorted({i for k in np.unique(h[:, 0]) for i in block.items[k] if i is not None})
         # Hits of one text that follow each other on a diagonal are one match, which no further word extends.

@@ -138,6 +138,13 @@ def test_decontamination_of_split_documents(monkeypatch):
     assert found[4] == [f"a:0:{k}:{min(30, 500 - k)}" for k in range(30, 500, 50)]
 
 
+def test_a_short_item_in_the_overlap_of_two_pieces_is_one_match(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
+    words = [f"v{k}" for k in range(100)]
+    block = decontaminate.QueryBlock([("s", decontaminate.contract_words("v32 v33"))])
+    assert decontaminate._scan([" ".join(words)], block)[0].row(block) == (100, 2, ["s"], ["32:34"], ["s:0:32:2"])
+
+
 def test_quality(docs, texts, empty):
     got = by_id(quality.quality_rules(docs))
     for k, t in enumerate(texts):
@@ -403,16 +410,53 @@ def test_lm_scores(docs, texts, empty, monkeypatch):
     assert lm_score.lattice_scores(empty).count() == 0
 
 
-def test_repeated_units(docs, texts, empty):
+def _brute_units(text):
+    """(start, end, key, line, is_line) of what is compared, told by splitting strings instead of patterns and digests."""
+    out, at, recent = [], 0, []
+    for line in (text or "").split("\n"):
+        begin, at = at, at + len(line) + 1
+        if not line.split():
+            continue
+        key = lambda words: (k := " ".join(words)).rstrip(".!?") or k
+        place = lambda part, b: (b + len(part) - len(part.lstrip()), b + len(part.rstrip()))
+        whole = key(line.lower().split())
+        out.append((*place(line, begin), whole, begin, True))
+        k = 0
+        while k < len(line):
+            end = k
+            while end < len(line) and line[end] not in ".!?":
+                end += 1
+            if end == k:  # marks with no words before them end no sentence
+                k += 1
+                continue
+            while end < len(line) and line[end] in ".!?":
+                end += 1
+            part, words = line[k:end], line[k:end].lower().split()
+            if words:
+                n = line_dedup.LEAST_WORDS
+                recent = words if len(words) >= n else (recent[-(n - 1) :] + words)[-max(n, len(words)) :]
+                if len(recent) >= n and key(recent) != whole:
+                    out.append((*place(part, begin + k), key(recent), begin, False))
+            k = end
+    return out
+
+
+def test_repeated_units(spark, docs, texts, empty):
+    draw = random.Random(9)
+    words = "a B cc D. e! f? ... gg.h \t".split(" ")
+    made = ["\n".join(" ".join(draw.choices(words, k=draw.randint(0, 14))) for _ in range(draw.randint(1, 6))) for _ in range(150)]
+    ids = [*enumerate(texts), *((1000 + k, t) for k, t in enumerate(made))]
+    more = spark.createDataFrame([(k, t) for k, t in ids if k >= 1000], "doc_id long, text string")
     first = {}
-    for k, t in [*enumerate(texts), (2**63 - 1, "null id here")]:
-        for at, (_, _, d) in enumerate(line_dedup.units(t)):
-            if d:
-                first.setdefault(d, (k, at))
-    got = by_id(line_dedup.repeated_units(docs))
-    for k, t in enumerate(texts):
-        us = line_dedup.units(t)
-        gone = [f"{a}:{b}" for at, (a, b, d) in enumerate(us) if d and first[d] < (k, at)]
+    for k, t in [*ids, (2**63 - 1, "null id here")]:
+        for at, (_, _, key, _, _) in enumerate(_brute_units(t)):
+            first.setdefault(key, (k, at))
+    got = by_id(line_dedup.repeated_units(docs.select("doc_id", "text").union(more)))
+    for k, t in ids:
+        us = _brute_units(t)
+        late = [(first[u[2]] < (k, at), u) for at, u in enumerate(us)]
+        gone_lines = {u[3] for g, u in late if g and u[4]}
+        gone = [f"{u[0]}:{u[1]}" for g, u in late if g and (u[4] or u[3] not in gone_lines)]
         assert (got[k].n_units, got[k].n_removed, got[k].removed) == (len(us), len(gone), ",".join(gone)), k
     again = texts.index(texts[0], 1)
     assert line_dedup.without(texts[again], got[again].removed).strip() == "" and got[0].n_removed == 0
