@@ -151,7 +151,7 @@ class FilterOptions:
         self.limits = {k: getattr(self, k) for k in classify.RESCUE}
 
 
-def _sets(spark: SparkSession, nodes: DataFrame | None, o: FilterOptions) -> tuple[DataFrame, DataFrame | None]:
+def target_sets(spark: SparkSession, nodes: DataFrame | None, o: FilterOptions) -> tuple[DataFrame, DataFrame | None]:
     if nodes is None and (o.include_descendants or o.allow_ancestors):
         raise ValueError("ancestors and descendants need a taxonomy tree")
     if nodes is not None:
@@ -166,7 +166,7 @@ def filter_reads(spark: SparkSession, inputs: list[str], classifications: str, r
     if len(kinds) > 1 and any(k is not Format.FASTQ for _, k in kinds):
         raise ValueError("two inputs must both be FASTQ")
     nodes = taxonomy.tree(text.read_report(spark, report)) if report else None
-    targets, above = _sets(spark, nodes, o)
+    targets, above = target_sets(spark, nodes, o)
     side = asg.collapse(text.read_assignments(spark, classifications))
     files = [_reads(spark, p, k).withColumn("base", fastq_base_name(F.col("name"))) for p, k in kinds]
     if len(files) == 2:
@@ -189,7 +189,7 @@ def filter_alignments(spark: SparkSession, header: list[str], rows: DataFrame, r
     """Records with decision, and the metrics."""
     listed = embedded.from_header(header)  # what the header holds wins over a file
     entries = spark.createDataFrame([(k, *(e[n] for n in embedded.KEYS)) for k, e in enumerate(listed)], taxonomy_files.SCHEMA) if listed is not None else text.read_report(spark, report) if report else None
-    targets, above = _sets(spark, taxonomy.tree(entries) if entries is not None else None, o)
+    targets, above = target_sets(spark, taxonomy.tree(entries) if entries is not None else None, o)
     marked = classify.mark_taxa(rows.withColumn("taxon_id", read_taxon(F.col("tags"))), F.col("taxon_id"), targets, above)
     limits = [o.rescue_max_edit_distance, o.rescue_max_indels, o.rescue_max_indel_length, o.rescue_n_adjustment]
     within = within_edit_limits(F.col("seq"), F.col("cigar"), tag_value(F.col("tags"), "MD", "Z"), F.col("flag"), *limits)

@@ -634,3 +634,78 @@ def a6_annotate_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM alignments a JOIN bases b USING (ord) JOIN reference r ON r.contig = a.rname WHERE a.flag & 4 = 0 AND substr(a.seq, CAST(b.read_at AS INT) + 1, 1) = 'N' AND a.pos + b.ref_at <= length(r.seq)"""))
 def a5_revert_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nrevert.revert_n_calls(_alignments(spark, sf_dir), view(spark, sf_dir, "reference"), chunk=64).agg(*nrevert.revert_counters())
+
+
+#: Bodies of embedded chunks with their index, total and payload.
+_BODIES = [("1/2:abc", 1, 2, "abc"), ("2/2:", 2, 2, ""), ("abc=", 1, 1, "abc="), ("12/30:a:b/c", 12, 30, "a:b/c"), ("0/2:x", None, None, None), ("3/2:x", None, None, None)]
+
+
+def _or_none(make, *arguments):
+    """What make returns, or None where it refuses its arguments."""
+    try:
+        return make(*arguments)
+    except ValueError:
+        return None
+
+
+@_query(_values([(b, i, t, p) for b, i, t, p in _BODIES], "body, part, total, payload"))
+def e2_chunk_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(b, *(_or_none(embedded.parse_chunk, b) or (None, None, None))) for b, *_ in _BODIES]
+    return _vectors(spark, rows, "body string, part int, total int, payload string")
+
+
+_ADJUSTMENTS = [(None, True), (1, True), (7, True), (0, False)]
+
+
+@_query(_values([(k, ok) for k, (_, ok) in enumerate(_ADJUSTMENTS)], "k, ok"))
+def c7_adjustment_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, [(k, _or_none(lambda n=n: commands.FilterOptions([1], rescue_n_adjustment=n)) is not None) for k, (n, _) in enumerate(_ADJUSTMENTS)], "k int, ok boolean")
+
+
+_NEEDS = [(False, False, False, True), (False, True, False, False), (False, False, True, False), (True, True, True, True), (True, False, False, True)]
+
+
+@_query(_values(_NEEDS, "tree, descendants, ancestors, ok"))
+def w8_tree_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    options = lambda d, a: commands.FilterOptions([1], include_descendants=d, allow_ancestors=a)
+    rows = [(t, d, a, _or_none(lambda t=t, d=d, a=a: commands.target_sets(spark, _nodes(spark, sf_dir) if t else None, options(d, a))) is not None) for t, d, a, _ in _NEEDS]
+    return _vectors(spark, rows, "tree boolean, descendants boolean, ancestors boolean, ok boolean")
+
+
+@_query(_values([(q, 0 <= q <= 93) for q in (-1, 0, 40, 93, 94)], "quality, ok"))
+def n4_quality_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = lambda q: _or_none(lambda: cigar.with_quality(F.lit("II"), F.array(F.lit(0)), q)) is not None
+    return _vectors(spark, [(q, fits(q)) for q in (-1, 0, 40, 93, 94)], "quality int, ok boolean")
+
+
+@_query("""WITH x AS (SELECT o_orderkey AS ord, o_orderkey % 3 AS a, o_custkey % 3 AS b FROM orders)
+SELECT ord, (a = 0 AND b = 0) OR (a = 1 AND b = 2) AS ok FROM x""")
+def p6_suffixes_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suffix = lambda c: F.element_at(F.array(F.lit(""), F.lit("/1"), F.lit("/2")), (F.col(c) % 3 + 1).cast("int"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.col("o_orderkey").alias("ord"), names.suffixes_pair(F.concat(F.lit("r"), suffix("o_orderkey")), F.concat(F.lit("r"), suffix("o_custkey"))).alias("ok"))
+
+
+@_query(with_views("reads", sql="SELECT ord, concat('>', split_part(name, ' ', 1), CASE WHEN name LIKE '% %' THEN ' lane' ELSE '' END, chr(10), seq) AS value FROM reads"))
+def k3_fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = view(spark, sf_dir, "reads")
+    rest = F.when(F.col("name").contains(" "), F.substring_index("name", " ", -1))
+    return sinks.fasta_read_lines(reads.select("ord", names.fastq_name(F.col("name")).alias("name"), rest.alias("description"), "seq"))
+
+
+@_query(with_views("alignments", sql="SELECT ord, concat_ws(chr(9), qname, flag, rname, pos, '60', cigar, '*', '0', '0', seq, '*', CASE WHEN md IS NULL THEN NULL ELSE concat('MD:Z:', md) END) AS value FROM alignments"))
+def k4_sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.when(F.col("md").isNotNull(), F.array(F.struct(F.lit("MD").alias("tag"), F.lit("Z").alias("type"), F.col("md").alias("value")))).otherwise(F.array().cast(tags.TAGS))
+    return bam.text_lines(_alignments(spark, sf_dir).withColumns({"tags": tag, "mapq": F.lit(60), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0), "qual": F.lit("*")}))
+
+
+@_query(with_views("taxa", sql="SELECT ord, substr('RDPS', CAST(indent / 2 AS INT) + 1, 1) AS rank_code, taxon_id, CASE WHEN taxon_id % 2 = 0 THEN '' ELSE concat('t', taxon_id) END AS name, indent FROM taxa"))
+def j10_dump_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a dump left-joined with their scientific names, which every other taxon lacks."""
+    listed, path, nodes = _listed(spark, sf_dir), [], []
+    for e in listed:
+        del path[e["indent"] // 2 :]
+        nodes.append(f"{e['taxon_id']}|{path[-1] if path else e['taxon_id']}|{_RANKS[e['rank_code']]}|")
+        path.append(e["taxon_id"])
+    named = [f"{e['taxon_id']} | {e['name']} | | scientific name |" for e in listed if e["taxon_id"] % 2]
+    return _entries(spark, taxonomy_files.parse_dump(["short line", *nodes[::-1]], [*named, "x | y | | scientific name |"]))

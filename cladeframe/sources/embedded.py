@@ -19,7 +19,7 @@ def to_comments(entries: list[dict]) -> list[str]:
     return [f"{PREFIX}{k}/{len(parts)}:{p}" for k, p in enumerate(parts, 1)]
 
 
-def _chunk(body: str) -> tuple[int, int, str]:
+def parse_chunk(body: str) -> tuple[int, int, str]:
     m = re.fullmatch(r"(\d+)/(\d+):(.*)", body, re.DOTALL)
     if not m:
         return 1, 1, body
@@ -34,7 +34,7 @@ def from_header(header: list[str]) -> list[dict] | None:
     bodies = [c[len(PREFIX) :] for line in header if line.startswith("@CO\t") and (c := line[4:]).startswith(PREFIX)]
     if not bodies:
         return None
-    chunks = [_chunk(b) for b in bodies]
+    chunks = [parse_chunk(b) for b in bodies]
     totals = {t for _, t, _ in chunks}
     if len(totals) > 1:
         raise ValueError("embedded report chunks have different totals")
