@@ -91,7 +91,7 @@ def _one(place: list[str], k: int, flag: str | None, name: str) -> str:
 def _arguments(argv: list[str] | None) -> dict:
     args = vars(_parser().parse_args(argv))
     command, place = args["command"], args.pop("files", [])
-    for known in ("threads", "unordered", "cram_reference"):
+    for known in ("threads", "unordered", *(["cram_reference"] if command != "prep" else [])):
         args.pop(known, None)
     if command in ("prep", "filter"):
         if place and args["input"]:
@@ -113,7 +113,7 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.appName("cladeframe").getOrCreate()
         command = args.pop("command")
         if command == "prep":
-            commands.run_prep(spark, args["input"], args["output"], args["per_record"])
+            commands.run_prep(spark, args["input"], args["output"], args["per_record"], args["cram_reference"])
         elif command == "filter":
             names = {f for f in commands.FilterOptions.__dataclass_fields__ if f != "limits"}
             options = commands.FilterOptions(**{k: v for k, v in args.items() if k in names})

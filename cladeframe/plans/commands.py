@@ -64,9 +64,10 @@ def read_alignments(spark: SparkSession, path: str) -> tuple[list[str], DataFram
 def write_alignments(rows: DataFrame, header: list[str], path: str, level: int = 5, index: bool = True) -> None:
     """SAM or BAM by extension, BAM on standard streams; a BAM file that is sorted by coordinate gets its index beside it, streams don't."""
     path = "/dev/stdout" if path == "-" else path
-    if text.infer_format(path) is Format.BAM:
+    kind = text.alignment_format(path)
+    if kind is Format.BAM:
         bam.write_bam(rows, header, path, level, index and text.is_coordinate_sorted(header) and not text.is_pseudo_path(path))
-    elif text.infer_format(path) is Format.CRAM:
+    elif kind is Format.CRAM:
         raise ValueError("CRAM needs an external encoder and is not supported")
     else:
         sinks.write_lines(bam.text_lines(rows), path, header)
@@ -100,10 +101,27 @@ def templates(spark: SparkSession, inputs: list[str], per_record: bool = False)
     return pairing.single_reads(reads)
 
 
-def run_prep(spark: SparkSession, inputs: list[str], output: str, per_record: bool = False) -> None:
+def check_pairs(inputs: list[str], *others: list[str]) -> None:
+    """One or two files go together, as many outputs and rejects (if any) as inputs, and no second file is a standard stream."""
+    if not 1 <= len(inputs) <= 2 or any(x and len(x) != len(inputs) for x in others):
+        raise ValueError("give as many outputs and rejects as inputs, one or two")
+    if any(text.is_pseudo_path(p) or p == "-" for files in (inputs, *others) for p in files[1:]):
+        raise ValueError("the second file of a pair can't be a standard stream")
+
+
+def check_cram_reference(kind: Format, cram_reference: str | None) -> None:
+    """A reference of CRAM files goes with CRAM input only."""
+    if cram_reference and kind is not Format.CRAM:
+        raise ValueError("--cram-reference is for CRAM input only")
+
+
+def run_prep(spark: SparkSession, inputs: list[str], output: str, per_record: bool = False, cram_reference: str | None = None) -> None:
     """Reads or alignments to one FASTA record a template."""
+    check_pairs(inputs)
     if per_record and len(inputs) > 1:
         raise ValueError("--per-record takes one input")
+    inputs = [_real(p) for p in inputs]
+    check_cram_reference(text.sniff(inputs[0])[0], cram_reference)
     sinks.write_lines(sinks.fasta_lines(templates(spark, inputs, per_record)), output)
 
 
@@ -218,8 +236,9 @@ def log_metrics(rows: list, options: FilterOptions) -> None:
 
 def run_filter(spark: SparkSession, inputs: list[str], outputs: list[str], options: FilterOptions, rejects: list[str] = (), classifications: str | None = None, report: str | None = None, metrics: str | None = None, level: int = 5) -> list:
     """Kept and, if asked for, rejected reads or records; returns the metric rows. Decisions are made once and kept for all sinks."""
-    if len(outputs) != len(inputs) or rejects and len(rejects) != len(inputs):
-        raise ValueError("give as many outputs and rejects as inputs")
+    check_pairs(inputs, outputs, list(rejects))
+    if len(outputs) != len(inputs):
+        raise ValueError("give as many outputs as inputs")
     if options.per_record and len(inputs) > 1:
         raise ValueError("--per-record takes one input")
     paths = [_real(p) for p in inputs]

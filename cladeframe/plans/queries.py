@@ -709,3 +709,26 @@ def j10_dump_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         path.append(e["taxon_id"])
     named = [f"{e['taxon_id']} | {e['name']} | | scientific name |" for e in listed if e["taxon_id"] % 2]
     return _entries(spark, taxonomy_files.parse_dump(["short line", *nodes[::-1]], [*named, "x | y | | scientific name |"]))
+
+
+@_query(_values([(p, "sam" if k in ("fasta", "fastq") else k) for p, k, _ in _PATHS], "path, format"))
+def f5_alignment_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, [(p, text.alignment_format(p).value) for p, _, _ in _PATHS], "path string, format string")
+
+
+_GATES = [("cram", True, True), ("bam", True, False), ("fastq", True, False), ("bam", False, True)]
+
+
+@_query(_values(_GATES, "format, reference, ok"))
+def f10_cram_reference_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = lambda k, r: _or_none(lambda: commands.check_cram_reference(text.Format(k), "r.fa" if r else None) or True) is not None
+    return _vectors(spark, [(k, r, fits(k, r)) for k, r, _ in _GATES], "format string, reference boolean, ok boolean")
+
+
+_TOGETHER = [("a", "o", "", True), ("a b", "o p", "r s", True), ("a b", "o", "", False), ("a", "o", "r s", False), ("a -", "o p", "", False), ("a b", "o /dev/stdout", "", False), ("- b", "- p", "", True), ("a b c", "o p q", "", False)]
+
+
+@_query(_values(_TOGETHER, "inputs, outputs, rejects, ok"))
+def x6_files_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = lambda *files: _or_none(lambda: commands.check_pairs(*(f.split() for f in files)) or True) is not None
+    return _vectors(spark, [(i, o, r, fits(i, o, r)) for i, o, r, _ in _TOGETHER], "inputs string, outputs string, rejects string, ok boolean")

@@ -248,3 +248,11 @@ def test_places_and_flags(spark, tmp_path, monkeypatch):
     assert gzip.open(kept, "rt").read() == "@r1\nACGT\n+\nIIII\n" and gzip.open(gone, "rt").read().startswith("@z0\n")
     raw = open(gone, "rb").read()
     assert raw.endswith(bgzf.EOF) and raw[12:14] == b"BC" and raw.count(bgzf.EOF[:4]) > 2
+
+
+def test_cram_gates(spark, tmp_path, monkeypatch):
+    reads = write(tmp_path / "a.fq", "@r1\nACGT\n+\nIIII\n")
+    assert _run(["prep", reads, "--cram-reference", "r.fa"], b"", monkeypatch) == (1, b"")
+    (tmp_path / "a.cram").write_bytes(b"CRAM\x03\x00")
+    assert _run(["prep", str(tmp_path / "a.cram"), "--cram-reference", "r.fa"], b"", monkeypatch) == (1, b"")
+    assert _run(["filter", reads, "-", "-t", "1", "-o", "x", "y"], b"", monkeypatch)[0] == 1
