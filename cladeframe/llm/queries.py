@@ -104,4 +104,35 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_near_duplicates": _OP3, "op9_decontamination": _OP9}
+#: op7: lines and sentences as rows, keys as strings; a short sentence's key are the last 8 words of all sentences so far.
+_OP7 = r"""
+WITH l AS (
+  SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), p AS (
+  SELECT doc_id, i, j, part, head + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM (SELECT doc_id, i, pos + length(regexp_extract(line, '^[.!?]*')) AS head, unnest(regexp_extract_all(line, '[^.!?]+[.!?]*')) AS part, generate_subscripts(regexp_extract_all(line, '[^.!?]+[.!?]*'), 1) AS j FROM l)
+), w AS (
+  SELECT *, regexp_extract_all(lower(part), '\S+') AS words FROM (SELECT * FROM p UNION ALL SELECT doc_id, i, 0, line, pos FROM l) WHERE regexp_matches(part, '\S')
+), n AS (
+  SELECT *, sum(CASE WHEN j > 0 THEN len(words) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i, j) AS upto FROM w
+), every AS (
+  SELECT doc_id, flatten(list(words ORDER BY i, j)) AS stream FROM w WHERE j > 0 GROUP BY doc_id
+), k AS (
+  SELECT n.doc_id, i, j, pos + length(part) - length(regexp_replace(part, '^\s+', '')) AS a, pos + length(regexp_replace(part, '\s+$', '')) AS b,
+    CASE WHEN j = 0 OR len(words) >= 8 THEN array_to_string(words, ' ') WHEN upto >= 8 THEN array_to_string(stream[CAST(upto AS BIGINT) - 7 : CAST(upto AS BIGINT)], ' ') END AS unit
+  FROM n LEFT JOIN every USING (doc_id)
+), u AS (
+  SELECT doc_id, i, j, a, b, coalesce(nullif(regexp_replace(unit, '[.!?]+$', ''), ''), unit) AS unit FROM k WHERE unit IS NOT NULL
+), units AS (
+  SELECT u.*, row_number() OVER (PARTITION BY u.unit ORDER BY u.doc_id, u.i, u.j) > 1 AS late FROM u LEFT JOIN u AS whole ON whole.doc_id = u.doc_id AND whole.i = u.i AND whole.j = 0
+  WHERE u.j = 0 OR u.unit <> whole.unit
+), gone AS (
+  SELECT s.* FROM units s JOIN units whole ON whole.doc_id = s.doc_id AND whole.i = s.i AND whole.j = 0 WHERE s.late AND (s.j = 0 OR NOT whole.late)
+)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_units FROM units GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n_removed, string_agg(concat(CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY i, j) AS removed FROM gone GROUP BY doc_id) USING (doc_id)
+"""
+
+ORACLE_SQL = {"op3_near_duplicates": _OP3, "op7_line_dedup": _OP7, "op9_decontamination": _OP9}
