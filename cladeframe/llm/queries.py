@@ -135,4 +135,17 @@ FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_units FROM units GROUP
   LEFT JOIN (SELECT doc_id, count(*) AS n_removed, string_agg(concat(CAST(a AS BIGINT), ':', CAST(b AS BIGINT)), ',' ORDER BY i, j) AS removed FROM gone GROUP BY doc_id) USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_near_duplicates": _OP3, "op7_line_dedup": _OP7, "op9_decontamination": _OP9}
+#: op2: the given pages have one article each, without lists, frames or names inside; its blocks are what stands between its tags of blocks.
+_OP2 = r"""
+WITH b AS (
+  SELECT page_id, i, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(part, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+  FROM (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
+    FROM (SELECT page_id, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h[1-6]|ul|ol|li|div|table|tr|td|blockquote|pre|section)(?:\s[^>]*)?>') AS parts FROM pages))
+), t AS (
+  SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS text FROM b WHERE text <> '' GROUP BY page_id
+)
+SELECT p.page_id, p.url, coalesce(t.text, '') AS text, CAST(length(coalesce(t.text, '')) AS BIGINT) AS n_chars FROM pages p LEFT JOIN t USING (page_id)
+"""
+
+ORACLE_SQL = {"op2_html": _OP2, "op3_near_duplicates": _OP3, "op7_line_dedup": _OP7, "op9_decontamination": _OP9}
