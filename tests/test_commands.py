@@ -256,3 +256,21 @@ def test_cram_gates(spark, tmp_path, monkeypatch):
     (tmp_path / "a.cram").write_bytes(b"CRAM\x03\x00")
     assert _run(["prep", str(tmp_path / "a.cram"), "--cram-reference", "r.fa"], b"", monkeypatch) == (1, b"")
     assert _run(["filter", reads, "-", "-t", "1", "-o", "x", "y"], b"", monkeypatch)[0] == 1
+
+
+def test_fastq_over_many_splits(spark, tmp_path):
+    draw = random.Random(8)
+    reads = [(f"r{k}", draw.choice(("", " some words")), "".join(draw.choices("ACGT", k=draw.choice((1, 5, 40, 900))))) for k in range(60)]
+    path = write(tmp_path / "a.fq", "".join(f"@{n}{d}\n{s}\n+\n{'@' * len(s)}\n" for n, d, s in reads) + "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("400", "5000", "100m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = text.read_fastq(spark, path).orderBy("ord").collect()
+            assert [(r.ord, r.name, r.description or "", r.seq, r.qual) for r in got] == [(k, n, d.strip(), s, "@" * len(s)) for k, (n, d, s) in enumerate(reads)], size
+        for bad in ("@r1\nACGT\n+\nIIII\n@r2\nAC\n", "@r1\nACGT\n+\nIII\n", "r1\nA\n+\nI\n", "@r1\nA\nI\nI\n"):
+            with pytest.raises(Exception, match="malformed FASTQ record"):
+                text.read_fastq(spark, write(tmp_path / "bad.fq", bad)).collect()
+        assert text.read_fastq(spark, write(tmp_path / "none.fq", "")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
