@@ -94,12 +94,13 @@ def in_slices(run):
         try:
             yield from run(sliced(batches))
         finally:
-            _trim()
+            give_back()
 
     return wrapped
 
 
-def _trim() -> None:
+def give_back() -> None:
+    """Returns memory that Python no longer uses to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

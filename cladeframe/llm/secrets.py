@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -228,6 +231,14 @@ def plain_tokens(samples: int = 50 * SAMPLES, seed: int = SEED + 1) -> list[str]
     return out
 
 
+def _read_model(data: bytes) -> Model:
+    """A model of this module from what a training process wrote."""
+    import base64
+    import pickle
+
+    return pickle.loads(base64.b64decode(data.split(b"model:")[-1]))
+
+
 class Model:
     """Automata of credentials and of plain tokens, and the ratio a character that separates their samples best."""
 
@@ -254,7 +265,11 @@ _model: list[Model] = []
 def model() -> Model:
     """The model, trained once a process; tasks get the driver's."""
     if not _model:
-        _model.append(Model(labelled_credentials(), plain_tokens()))
+        # The prefix trees take some hundred times what the automata do, so they live and go in a process of their own.
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        path = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
+        made = subprocess.run([sys.executable, "-m", "cladeframe.llm.secrets"], env={**os.environ, "PYTHONPATH": path}, stdout=subprocess.PIPE, check=True)
+        _model.append(_read_model(made.stdout))
     return _model[0]
 
 
@@ -384,3 +399,12 @@ def redact_secrets(documents: DataFrame) -> DataFrame:
 
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in documents.schema])
     return documents.mapInArrow(_with_model(run), schema)
+
+
+if __name__ == "__main__":
+    import base64
+    import pickle
+
+    from cladeframe.llm import secrets as named  # so that the model's classes have the module's name
+
+    print("model:" + base64.b64encode(pickle.dumps(named.Model(named.labelled_credentials(), named.plain_tokens()))).decode())
